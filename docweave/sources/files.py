@@ -62,13 +62,25 @@ def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, C.CONVERTIBLE).select("rel", "suffix", "content").mapInArrow(read, "source string, target string, markdown string")
 
 
+def _empty_files(path: str) -> list[str]:
+    """Relative names of convertible files of no bytes, which Spark's readers pass over."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    info = store.get_file_info(root)
+    found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
+    base = root if info.type != fs.FileType.File else root.rsplit("/", 1)[0]
+    return [f.path[len(base.rstrip("/")) + 1 :] for f in found if f.type == fs.FileType.File and f.size == 0 and f.path.lower().endswith(C.CONVERTIBLE)]
+
+
 def convert_files(spark: SparkSession, path: str, dest: str, overwrite: bool = False) -> DataFrame:
     """Write Markdown below ``dest``; the log source, target, skipped, reason.
 
     Workers write their own files through the store's file system; nothing passes the driver.
     """
     files = markdown_files(spark, path)
-    if files.isEmpty():
+    empty = _empty_files(path)
+    if not empty and files.isEmpty():
         raise ValueError(f"Nenhum arquivo conversível em {path}")
 
     def write(batches):
@@ -92,7 +104,9 @@ def convert_files(spark: SparkSession, path: str, dest: str, overwrite: bool = F
 
     from docweave.runtime import cut
 
-    return cut(files.mapInArrow(write, "source string, target string, skipped boolean, reason string"), "converted")
+    ddl = "source string, target string, skipped boolean, reason string"
+    blank = spark.createDataFrame([(e, os.path.splitext(e)[0] + ".md", True, EMPTY) for e in empty], ddl)
+    return cut(files.mapInArrow(write, ddl).unionByName(blank), "converted")
 
 
 def html_to_text(c):

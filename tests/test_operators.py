@@ -1,0 +1,196 @@
+import math
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from docweave.operators import answer as A
+from docweave.operators import chunking as C
+from docweave.operators import dedup as D
+from docweave.operators import index as I
+from docweave.operators import rank as R
+from docweave.operators import search as S
+from docweave.operators.order import global_row_number
+from docweave.operators.rewrite import Graph, question_terms, rewrite
+
+MD = """intro sem título
+
+# Relatório
+
+Texto   da abertura.
+
+| Indicador | Q1 2026 | Q2 2026 |
+|---|:---:|---|
+| NPS | 41 | - |
+| **Receita** | 10 |
+|  | 5 | 6 |
+
+## Só título
+## Datas
+| Data | Total |
+|---|---|
+| 30/06/2024 | 108 |
+"""
+
+
+def test_sections_blocks_and_facts(spark):
+    docs = spark.createDataFrame([(0, "d.md", MD, ".md", None), (1, "e.txt", "plano", ".txt", None), (2, "f.txt", "  ", ".txt", None)], "doc_pos long, source string, text string, ext string, pages int")
+    got = [(r["doc_pos"], r["heading"], r["body"].split("\n")[0]) for r in C.split_sections(docs).orderBy("doc_pos", "section_pos").collect()]
+    assert got == [(0, "", "intro sem título"), (0, "# Relatório", "Texto   da abertura."), (0, "## Só título", "Só título"), (0, "## Datas", "| Data | Total |"), (1, "", "plano"), (2, "", "")]
+    chunks = C.chunk_documents(docs).orderBy("pos").collect()
+    assert [r["pos"] for r in chunks] == list(range(len(chunks)))
+    facts = [(r["metric"], r["period"], r["text"]) for r in chunks if r["kind"] == "table_fact"]
+    assert facts == [
+        ("NPS", "Q1 2026", "# Relatório\n\nNPS em Q1 2026: 41.\n\n| Indicador | Q1 2026 |\n| --- | --- |\n| NPS | 41 |"),
+        ("Receita", "Q1 2026", "# Relatório\n\nReceita em Q1 2026: 10.\n\n| Indicador | Q1 2026 |\n| --- | --- |\n| Receita | 10 |"),
+        ("30/06/2024", "30/06/2024", "## Datas\n\nData: 30/06/2024; Total: 108.\n\n| Data | Total |\n| --- | --- |\n| 30/06/2024 | 108 |"),
+    ]
+    assert [(r["chunk_id"], r["section"], r["text"]) for r in chunks if r["kind"] == "prose"] == [("d.md::0", "", "intro sem título"), ("d.md::1", "Relatório", "# Relatório\n\nTexto da abertura."), ("d.md::4", "Só título", "## Só título\n\nSó título"), ("e.txt::0", "", "plano")]
+
+
+def chunk_rows(spark, texts, **more):
+    rows = [(i, t, more.get("kind", {}).get(i, "prose"), "s", more.get("metric", {}).get(i, ""), "") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "pos long, text string, kind string, source_name string, metric string, period string")
+
+
+def plain_dedupe(rows, threshold=0.82):
+    kept, keys, sets = [], set(), []
+    for pos, text, kind, source, metric, period in rows:
+        t = frozenset(A.term_list(text))
+        if not t or t in [k for k, _ in sets]:
+            continue
+        if kind == "table_fact":
+            if (source, metric, period) in keys:
+                continue
+            keys.add((source, metric, period))
+        elif any(R.set_jaccard(t, k) >= threshold or (len(t) >= 4 and R.set_containment(t, k) >= 0.92) for k, _ in sets):
+            continue
+        sets.append((t, pos))
+        kept.append(pos)
+    return kept
+
+
+def test_dedupe_chunks(spark):
+    base = "um dois tres quatro cinco seis sete oito nove dez onze doze"
+    texts = [base, base, base + " treze", base + " treze quatorze quinze", "cinco seis sete oito", "", None, "fato alfa", "fato beta", "fato beta", "fato gama", base + " catorze dezoito vinte trinta"]
+    kind, metric = {i: "table_fact" for i in (7, 8, 9, 10)}, {7: "m", 8: "m", 9: "n", 10: "n"}
+    chunks = chunk_rows(spark, texts, kind=kind, metric=metric)
+    kept, dropped = D.dedupe_chunks(chunks)
+    want = plain_dedupe([(r["pos"], r["text"] or "", r["kind"], r["source_name"], r["metric"], r["period"]) for r in chunks.orderBy("pos").collect()])
+    assert sorted(r["pos"] for r in kept.collect()) == want and dropped.count() == len(texts) - len(want)
+
+
+def test_greedy_drop_chains(spark):
+    pairs = [(1, 0), (2, 1), (3, 2), (4, 2), (4, 0), (6, 5)]
+    got = sorted(r["pos"] for r in D.greedy_drop(spark.createDataFrame(pairs, "x long, y long")).collect())
+    assert got == [1, 3, 4, 6]  # 2 stays, since 1, which it repeats, went
+    assert D.greedy_drop(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_index_values(spark):
+    chunks = spark.createDataFrame([(0, "gato preto"), (1, "gato branco branco"), (2, "cachorro gato"), (3, "")], "pos long, text string")
+    counts = I.term_counts(chunks)
+    df, size = I.document_frequency(counts), I.corpus_size(chunks)
+    idf = {r["term"]: r["idf"] for r in I.bm25_idf(df, size).collect()}
+    assert math.isclose(idf["preto"], math.log(3.5 / 1.5 + 1))
+    vocabulary = I.tfidf_vocabulary(df, size)
+    got = {r["term"]: r["idf"] for r in vocabulary.collect()}
+    assert set(got) == {"gato", "preto", "branco", "cachorro"} and math.isclose(got["preto"], math.log(5 / 2) + 1)
+    assert [r["term_id"] for r in I.with_term_ids(vocabulary).orderBy("term").collect()] == [0, 1, 2, 3]
+    norms = I.tfidf_weights(counts, vocabulary).groupBy("pos").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    assert all(math.isclose(r["n"], 1) for r in norms)
+    everywhere = spark.createDataFrame([(i, "igual sempre") for i in range(3)], "pos long, text string")
+    c = I.term_counts(everywhere)
+    assert I.tfidf_vocabulary(I.document_frequency(c), I.corpus_size(everywhere)).count() == 2  # nothing is left within the limit: all
+
+
+def test_neighbors_in_order_of_first_sight(spark):
+    chunks = spark.createDataFrame([(0, "zeta alfa beta"), (1, "alfa gama zeta"), (2, "so")], "pos long, text string")
+    near = I.neighbors(I.cooccurrence(chunks), I.graph_df(chunks))
+    assert [(r["b"], r["rank"]) for r in near.where("a = 'alfa'").orderBy("rank").collect()] == [("zeta", 1), ("beta", 2), ("gama", 3)]
+
+
+def test_search_and_fusion(spark):
+    chunks = spark.createDataFrame([(0, "maçã verde"), (1, "maçã maçã vermelha"), (2, "pera"), (3, "nada aqui mesmo")], "pos long, text string")
+    queries = spark.createDataFrame([("a", "maçã"), ("b", "xyz")], "query_id string, text string")
+    counts = I.term_counts(chunks)
+    df, size = I.document_frequency(counts), I.corpus_size(chunks)
+    sparse = S.bm25_search(queries, I.bm25_postings(counts, I.chunk_lengths(chunks), df, size), 3)
+    assert [(r["query_id"], r["pos"], r["rank"]) for r in sparse.orderBy("query_id", "rank").collect()] == [("a", 1, 1), ("a", 0, 2)]
+    vocabulary = I.tfidf_vocabulary(df, size)
+    dense = S.dense_search(queries, I.tfidf_weights(counts, vocabulary), vocabulary, chunks, 3)
+    rows = [(r["query_id"], r["pos"], round(r["score"], 6) > 0) for r in dense.orderBy("query_id", "rank").collect()]
+    assert rows == [("a", 1, True), ("a", 0, True), ("a", 2, False), ("b", 0, False), ("b", 1, False), ("b", 2, False)]
+    rrf = {(r["query_id"], r["pos"]): r["rrf"] for r in S.rrf_fuse([dense, sparse]).collect()}
+    assert math.isclose(rrf["a", 1], 2 / 61) and math.isclose(rrf["b", 2], 1 / 63)
+    lists = [spark.createDataFrame([("q", 1, 0.5, 1), ("q", 9, 0.4, 2)], "query_id string, pos long, score double, rank int"), spark.createDataFrame([("q", 1, 6.0, 1), ("q", 2, 2.0, 2)], "query_id string, pos long, score double, rank int")]
+    fused = {r["pos"]: r["rrf"] for r in S.hybrid_fuse(*lists).collect()}
+    assert math.isclose(fused[9], 1 / 62 + 0.05 * (0.5 * 0.4 + 0.5 * -0.5))  # not clamped
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.floats(0, 1), st.sets(st.integers(0, 6), max_size=5)), max_size=8), st.floats(0, 1), st.integers(1, 6))
+def test_mmr_against_a_plain_loop(items, lam, k):
+    rel, sets = [r for r, _ in items], [s for _, s in items]
+    chosen, left = [], list(range(len(items)))
+    while left and len(chosen) < k:
+        best, score = None, -1.0
+        for i in left:
+            value = lam * rel[i] - (1 - lam) * max((R.set_jaccard(sets[i], sets[j]) for j in chosen), default=0.0)
+            if value > score:
+                best, score = i, value
+        if best is None:
+            break
+        chosen.append(best)
+        left.remove(best)
+    assert R.mmr(rel, lambda i, j: R.set_jaccard(sets[i], sets[j]), lam, k) == chosen
+    assert R.mmr(rel, lambda i, j: R.set_jaccard(sets[i], sets[j]), 1.0, k) == sorted(range(len(rel)), key=lambda i: -rel[i])[:k]
+
+
+def frame(**more):
+    return {"kind": "generic", "year": None, "period_n": None, "period_token": None, "people": False, "drop": []} | more
+
+
+def test_rewrite():
+    g = Graph(100, {"receita": 5, "lucro": 4, "q1": 5, "2025": 9, "comum": 60, "p1": 3}, {"receita": [("lucro", 3.0), ("comum", 2.0), ("2025", 1.0), ("2026", 0.5)], "2026": [("lucro", 1.0), ("receita", 1.0)], "q1": [("lucro", 1.0)], "p1": [("incidente", 2.0), ("ack", 1.0)]})
+    assert rewrite(frame(), "a receita", ["receita"], [], [], g)[1] == ["receita", "lucro"]  # comum is commoner, 2025 wasn't asked
+    assert rewrite(frame(kind="procedure"), "x", ["deploy", "passo"], [], [], Graph())[1] == ["deploy", "passo"]
+    search, words, notes = rewrite(frame(kind="quantity_period", year="2026", period_n=1, period_token="p1"), "x", ["receita", "p1", "2026"], [], [], g)
+    assert words == ["receita", "2026", "lucro", "q1"] and any("p1" in n for n in notes)
+    assert rewrite(frame(), "oi", ["sim"], ["historia", "longa"], ["dica"], Graph())[1] == ["sim", "historia", "longa", "dica"]
+    assert rewrite(frame(), "de", ["de"], [], [], Graph())[0] == "de"
+    t = question_terms(frame(drop=["lucro"]), ["qual", "receita", "lucro", "comum", "q1", "p1"], g)
+    assert t["route_terms"] == ["receita", "q1"] and t["metric_terms"] == ["lucro", "q1", "receita"] and t["quality_terms"] == ["receita", "q1", "p1"]
+
+
+def test_answers_and_verdicts():
+    hits = [
+        {"kind": "prose", "text": "A política de férias dá 30 dias por ano ao funcionário. Veja também o manual completo de benefícios.", "section": "Férias", "period": "", "source_name": "politica_ferias.md", "route": 1.0, "rerank": 0.8},
+        {"kind": "prose", "text": "O gato dorme no telhado durante a tarde inteira hoje.", "section": "", "period": "", "source_name": "gatos.md", "route": 0.04, "rerank": 0.2},
+    ]
+    text = A.draft("Quantos dias de férias?", frame(kind="quantity", drop=[]), [], ["dias", "ferias"], hits, None)
+    assert text == "A política de férias dá 30 dias por ano ao funcionário.\n\nFontes: politica_ferias.md"
+    assert A.draft("x", frame(), [], [], [], None) == A.NO_HITS and A.draft("nada disso", frame(), [], ["nada"], hits[1:], None) == A.NO_SPANS
+    context = " ".join(A.fold_text(h["text"]) for h in hits)
+    ok = A.verify(frame(kind="quantity"), ["dias", "ferias"], [[], []], text, context)
+    assert ok["ok"] and ok["grounded"]
+    assert not A.verify(frame(kind="quantity", year="2020"), ["dias"], [[]], text, context)["ok"]
+    assert not A.verify(frame(), ["dias"], [[]], "", context)["ok"]
+    assert A.answer_redundancy("Uma frase bem comprida sobre deploy. Uma frase bem comprida sobre deploy.") == 1.0
+    assert A.hit_spans("table_fact", "## KPI\n\nNPS em Q1: 41.\n\n| a | b |") == ["NPS em Q1: 41."]
+    old = [("Valor de 100 reais em 2024", "p_2024.md", 0.9), ("Valor de 200 reais em 2025", "p_2025.md", 0.5)]
+    assert A.best_year(old[1][1]) == 2025
+
+
+def test_retrieval_quality(spark):
+    queries = spark.createDataFrame([(1, ["gato", "azul"], [[], ["preto"]]), (2, ["nada"], [[]]), (3, [], [])], "query_id long, quality_terms array<string>, quality_near array<array<string>>")
+    hits = spark.createDataFrame([(1, 1, "Gato preto", 0.9), (1, 2, "gato branco", 0.5), (3, 1, "x", 2.0)], "query_id long, rank int, text string, rerank double")
+    got = {r["query_id"]: r for r in A.retrieval_quality(queries, hits).collect()}
+    assert math.isclose(got[1]["score"], 0.5 + 0.35 * 0.9 + 0.15 * (1 - 1 / 3)) and got[1]["ok"] and got[1]["missing"] == []
+    assert got[2]["score"] == 0 and not got[2]["ok"] and got[2]["missing"] == ["nada"]
+    assert math.isclose(got[3]["score"], 0.35 + 0.15)
+
+
+def test_global_row_number(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    assert [r["n"] for r in global_row_number(df, ["k"], "n").orderBy("k").collect()] == list(range(1, 1001))
