@@ -7,11 +7,12 @@ fall into bin i; a bin keeps the least value of the first round that reached it.
 filled after 2t rounds at most, mostly after one or two, and two sketches agree in a bin with the sets'
 Jaccard similarity as probability.
 
-Equal sets are one node. Nodes that share a band are candidates. In each bucket, members are compared
-with a pivot, the member with most company over all its buckets; then, where a bucket's members are
-still in different components, small buckets compare all such pairs (a bounded number per member) and
-large ones further pivots, and at last everyone outside the bucket's commonest component. A pair in one
-component already needs no comparison. Links are confirmed by 100 * intersection >= percent * union.
+Equal sets are one node. Nodes that share a band are candidates, and the candidates' connected components
+are clusters, each node being in one. So a node's full set is shipped once, to its cluster's task, which
+confirms links by exact intersection counts, 100 * intersection >= percent * union, and returns stars,
+as many rows as members. A cluster beyond ``CELL_MEMBERS`` or ``CELL_SHINGLES`` is cut into blocks, and each pair
+of blocks is a task of its own, so no task holds more than two blocks. Components of the stars are the
+result.
 
 With 25 bands of 5, a pair at similarity 0.85 shares no band with probability 5e-7.
 
@@ -34,7 +35,8 @@ from docweave.runtime import cut, ship_package
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 25, 5
-SMALL = 12  # members of a bucket whose pairs are all compared
+CELL_MEMBERS, CELL_SHINGLES = 3000, 1_000_000  # of one cluster, compared in one task
+RARE = 8  # shingles of so few members are counted pair by pair, others by bit sets
 U = np.uint64
 SPACE, LOWER = lut_is_space(), lut_lower()
 
@@ -114,78 +116,118 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its shingle hashes, of the documents that ``nodes`` names, with its other columns."""
+    more = [f for f in nodes.schema.fields if f.name != "node"]
+    ddl = ", ".join(["node long", *(f"{f.name} {f.dataType.simpleString()}" for f in more), "shingles array<long>"])
+
     def run(batches):
         for batch in batches:
             for part in blocks(batch, "text"):
                 h, n = shingle_sets(Block(part.column(1)))
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "shingles"])
-
-    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return wanted.mapInArrow(run, "node long, shingles array<long>")
-
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], sets], ["node", *(f.name for f in more), "shingles"])
+
+    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node")
+    return wanted.select("node", "text", *(f.name for f in more)).mapInArrow(run, ddl)
+
+
+def intersections(values: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
+    """How many values each two of m sets share, as a matrix filled above the diagonal."""
+    out = np.zeros((m, m), np.int32)
+    _, which, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[which] > 1
+    which, row = which[shared], row[shared]
+    order = np.lexsort((row, which))
+    which, row, df = which[order], row[order], count[which[order]]
+    for k in range(2, RARE + 1):
+        groups = row[df == k].reshape(-1, k)
+        for i in range(k):
+            for j in range(i + 1, k):
+                np.add.at(out, (groups[:, i], groups[:, j]), 1)
+    often = df > RARE
+    _, col = np.unique(which[often], return_inverse=True)
+    if len(col):
+        bits = np.zeros((m, int(col.max()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (row[often], col >> 6), U(1) << (col & 63).astype(np.uint64))
+        for i in range(m - 1):
+            out[i, i + 1 :] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(1, dtype=np.int32)
+    return out
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (pivot, member) that are links. Sets are only made of documents in pairs.
 
-    The member's set joins first, so that a pivot of many members brings its own load to the second
-    join, which adaptive execution can split.
-    """
-    pairs = cut(pairs, "pairs")
-    nodes = pairs.select(F.col("pivot").alias("node")).unionByName(pairs.select(F.col("member").alias("node"))).distinct()
-    sets = cut(_full_sets(docs, nodes), "sets")
-    a = sets.select(F.col("node").alias("member"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    total = F.size("a") + F.size("b") - both
-    return pairs.join(a, "member").join(b, "pivot").where(100 * both >= percent * total).select(F.col("pivot").alias("u"), F.col("member").alias("v"))
+def cell_stars(nodes: np.ndarray, sizes: np.ndarray, values: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of the nodes that link inside one cell."""
+    m = len(nodes)
+    both = intersections(values, np.repeat(np.arange(m), sizes), m).astype(np.int64)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    linked = np.triu(linked, 1)
+    linked |= linked.T
+    label, left = np.full(m, -1), np.ones(m, bool)
+    for i in np.argsort(nodes, kind="stable"):
+        if not left[i]:
+            continue
+        reach, front = np.zeros(m, bool), np.array([i])
+        reach[i] = True
+        while len(front):
+            new = linked[front].any(0) & ~reach
+            reach |= new
+            front = np.flatnonzero(new)
+        label[reach] = i
+        left &= ~reach
+    star = np.flatnonzero(nodes[label] != nodes)
+    return nodes[star], nodes[label[star]]
+
+
+def _links(percent: int):
+    def run(batches):
+        held: list[tuple] = []  # of the cell at hand: nodes, sizes, values
+        cell = None
+
+        def solve():
+            nodes, sizes, values = (np.concatenate(x) for x in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cell_stars(nodes, sizes, values, percent)], ["u", "v"])
+
+        for b in batches:
+            keys = np.stack([np.asarray(b.column(i)) for i in (0, 1, 2)], 1)
+            lists = b.column(4)
+            off = np.asarray(lists.offsets).astype(np.int64)
+            flat = np.asarray(lists.values)
+            nodes = np.asarray(b.column(3))
+            edge = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+            for x, y in zip(edge, edge[1:]):
+                if x == y:
+                    continue
+                if cell is not None and tuple(keys[x]) != cell:
+                    yield solve()
+                    held = []
+                cell = tuple(keys[x])
+                held.append((nodes[x:y], np.diff(off[x : y + 1]), flat[off[x] : off[y]]))
+        if held:
+            yield solve()
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     drawn = cut(sketch_documents(docs), "sketch")
     real = drawn.where("doc_id is not null and n_shingles > 0")
-    reps = cut(real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "sets1")
-    member = F.struct("node", "n_shingles")
-    rows = reps.select("node", "n_shingles", F.explode("bands").alias("b"))
-    sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = cut(rows.join(sizes, "b"), "buckets")
-    company = rows.groupBy("node").agg(F.sum("m").alias("company"))
-    pivots = rows.join(company, "node").groupBy("b").agg(F.max_by(member, F.struct("company", -F.col("node"))).alias("p"))
-    like = F.expr(f"100 * least(n_shingles, p.n_shingles) >= {percent} * greatest(n_shingles, p.n_shingles) and node <> p.node")
-
-    def against(pivots: DataFrame) -> DataFrame:
-        return rows.join(pivots, "b").where(like).select(F.col("p.node").alias("pivot"), F.col("node").alias("member")).distinct()
-
-    links = cut(_verify(against(pivots), docs, percent), "links")
-    comp = cut(connected_components(links), "comp")
-    for step in (0, 8, 64, None):
-        now = rows.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = now.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("b")
-        now = cut(now.join(split, "b"), "open")
-        one = now.select("b", F.struct("node", "n_shingles", "component").alias("p"))
-        differ = like & (F.col("component") != F.col("p.component"))
-        if step == 0:
-            pairs = now.where(F.col("m") <= SMALL).join(one, "b").where(differ & (F.col("node") > F.col("p.node")))
-        elif step:
-            each = now.where(F.col("m") > SMALL).groupBy("b").agg(*[F.max_by(F.struct("node", "n_shingles", "component"), F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(step)])
-            chosen = each.select("b", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(step)]))).alias("p"))
-            pairs = now.where(F.col("m") > SMALL).join(chosen, "b").where(differ)
-        else:
-            count = now.where(F.col("m") > SMALL).groupBy("b", "component").count().groupBy("b").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-            rest = now.join(count, "b").where("component <> main").select("b", F.struct("node", "n_shingles", "component").alias("p"))
-            pairs = now.where(F.col("m") > SMALL).join(rest, "b").where(differ)
-        pairs = cut(pairs.select(F.col("p.node").alias("pivot"), F.col("node").alias("member")).distinct(), "more")
-        if pairs.isEmpty():
-            if step is not None and step > 0 and now.where(F.col("m") > SMALL).isEmpty():
-                break
-            continue
-        new = cut(_verify(pairs, docs, percent), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = cut(connected_components(links), "comp")
-    # A node's component is the smallest doc_id of its nodes, since a node is the smallest of its copies.
+    reps = cut(real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "sets1")
+    rows = reps.select("node", F.explode("bands").alias("b"))
+    first = rows.groupBy("b").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").drop("last")
+    clusters = connected_components(rows.join(first, "b").select(F.col("node").alias("u"), "v"))
+    members = clusters.join(reps.select("node", "n_shingles"), "node")
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    # Blocks of half a cell: a pair of blocks is a cell at most.
+    parts = F.when((F.col("m") <= CELL_MEMBERS) & (F.col("s") <= CELL_SHINGLES), 1).otherwise(F.greatest(F.ceil(2 * F.col("m") / CELL_MEMBERS), F.ceil(2 * F.col("s") / CELL_SHINGLES)))
+    members = members.join(size.select("component", parts.cast("int").alias("g")), "component").dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
+    sets = full_sets(docs, members.select("node", F.col("component").alias("cluster"), "g", own.alias("own")))
+    cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("cluster", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "shingles")
+    dealt = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    comp = cut(connected_components(dealt.mapInArrow(_links(percent), "u long, v long")), "comp")
+    # A node is the smallest of its copies, so a component's smallest node is its smallest doc_id.
     named = reps.join(comp, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component"))
     plain = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
     out = drawn.drop("bands").join(named, ["fp1", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", plain.alias("component_id"))

@@ -74,11 +74,22 @@ def test_near_duplicates(spark):
     check_near(spark, awkward() + variants(11, 8, 1) + variants(12, 8, 5) + variants(13, 20, 3)[1:] + variants(14, 30, 3))
 
 
-def test_large_buckets_find_their_hub(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 2)
+def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL_MEMBERS", 6)
+    monkeypatch.setattr(neardup, "RARE", 3)
     check_near(spark, variants(15, 25, 3)[::-1] + variants(16, 12, 4)[::-1])
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=40), min_size=1, max_size=25))
+def test_intersections(sets):
+    values = np.array([x for s in sets for x in sorted(s)], np.int64)
+    got = neardup.intersections(values, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            assert got[i, j] == len(a & sets[j])
+
+
 def test_near_duplicates_edge_tables(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     t = filler(1, 40)
