@@ -49,17 +49,19 @@ def fold_exact(c: Column | str) -> Column:
     return F.pandas_udf(run, "string")(c)
 
 
-def tokens(c: Column | str, stopwords: bool = True, folded: bool = False) -> Column:
-    """Runs of a-z and 0-9 in the folded text, of two characters or more; null reads as none."""
-    text = F.coalesce(as_col(c), F.lit(""))
-    words = F.regexp_extract_all(text if folded else fold(text), F.lit("[a-z0-9]+"), F.lit(0))
-    if stopwords:
-        return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(L.STOPWORDS))
-    return F.filter(words, lambda w: F.length(w) > 1)
+def _words(c: Column | str) -> Column:
+    """Maximal runs of two or more of a-z and 0-9 in the folded text; null reads as none."""
+    return F.regexp_extract_all(fold(F.coalesce(as_col(c), F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+
+
+def tokens(c: Column | str, stopwords: bool = True) -> Column:
+    """The words of a text in order, without stopwords if ``stopwords`` is to be applied."""
+    return F.filter(_words(c), lambda w: ~w.isin(L.STOPWORDS)) if stopwords else _words(c)
 
 
 def unique_terms(c: Column | str) -> Column:
-    return F.array_distinct(tokens(c))
+    """Distinct tokens in order of first sight: one pass with a hash set."""
+    return F.array_except(_words(c), F.array(*map(F.lit, L.STOPWORDS)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -379,15 +379,14 @@ def rewrite_query(spark, sf):
 
 def _postings(spark, sf):
     d = docs(spark, sf)
-    counts = cut(I.term_counts(d), "tf")
-    size = I.corpus_size(d)
-    df = I.document_frequency(counts)
+    counts, size = cut(I.term_counts(d), "tf"), cut(I.corpus_size(d), "size")
+    df = cut(I.document_frequency(counts), "df")
     return counts, df, size, I.bm25_postings(counts, I.chunk_lengths(d), df, size)
 
 
 def _lists(spark, sf, k=20):
     counts, df, size, postings = _postings(spark, sf)
-    vocabulary = I.tfidf_vocabulary(df, size)
+    vocabulary = cut(I.tfidf_vocabulary(df, size), "vocabulary")
     dense = cut(S.dense_search(questions(spark, sf), I.tfidf_weights(counts, vocabulary), vocabulary, docs(spark, sf), k), "dense")
     return dense, cut(S.bm25_search(questions(spark, sf), postings, k), "sparse")
 
@@ -472,7 +471,7 @@ _HIT_YEAR = f"coalesce({_YEARS_OF.format(x=chr(40) + 'source_name || chr(32) ||
 _RECENCY = "case when hy is null then 0.5 when 2028 - hy <= 0 then 1.0 else greatest(0.08, 1 - 0.32 * (2028 - hy)) end"
 
 
-@query(f"with {_FRAME}, g as (select *, {_HIT_YEAR} as hy from f) select query_id, hy as hit_year, round({_RECENCY}, 6) as recency, round(case when fyear is null then {_RECENCY} when hy is null then 0.4 when hy::varchar = fyear then 1.0 else 0.12 end, 6) as asked from g")
+@query(f"with {_FRAME}, g as (select *, {_HIT_YEAR} as hy from f) select query_id, hy as hit_year, round(({_RECENCY})::double, 6) as recency, round((case when fyear is null then {_RECENCY} when hy is null then 0.4 when hy::varchar = fyear then 1.0 else 0.12 end)::double, 6) as asked from g")
 def recency_score(spark, sf):
     y = R.hit_year()
     h = order_hits(spark, sf)
@@ -487,7 +486,7 @@ def latest_year(spark, sf):
 @query(
     f"with {_FRAME}, g as (select *, {_HIT_YEAR} as hy, {fold_sql(chr(40) + 'period || chr(32) || metric || chr(32) || substring(text, 1, 400)' + chr(41))} as blob from f), c as (select *, replace(blob, ' ', '') as compact, contains(replace(blob, ' ', ''), 'q' || period_n::varchar) as has, "
     "len(list_filter([1, 2, 3, 4], lambda i: i <> period_n and contains(replace(blob, ' ', ''), 'q' || i::varchar))) > 0 as other, fyear is null or contains(blob, fyear) as yok from g) "
-    f"select query_id, round(case when period_n is not null then case when has and yok then 1.0 when other or has then 0.0 else 0.35 end when fyear is not null then case when contains(blob, fyear) then 1.0 when regexp_matches(blob, '20[0-9]{{2}}') then 0.1 else 0.35 end else {_RECENCY} end, 6) as period_score from c"
+    f"select query_id, round((case when period_n is not null then case when has and yok then 1.0 when other or has then 0.0 else 0.35 end when fyear is not null then case when contains(blob, fyear) then 1.0 when regexp_matches(blob, '20[0-9]{{2}}') then 0.1 else 0.35 end else {_RECENCY} end)::double, 6) as period_score from c"
 )
 def period_align(spark, sf):
     return order_hits(spark, sf).select("query_id", F.round(R.period_align(F.col("frame"), F.col("latest")), 6).alias("period_score"))
@@ -503,14 +502,14 @@ _NAME_TERMS = "list_distinct(" + tok_sql("replace(translate(source_name, '_-', '
 @query(
     f"with {_FRAME}, t as (select *, {_ROUTE_TERMS} as terms from f), o as (select *, {_SHARED.format(a='terms', b=_NAME_TERMS)} as n1, "
     f"{_SHARED.format(a='terms', b='list_distinct(' + tok_sql('section || chr(32) || metric || chr(32) || period') + ')')} as n2, {_SHARED.format(a='terms', b='list_distinct(' + tok_sql('substring(text, 1, 480)') + ')')} as n3 from t) "
-    "select query_id, round(case when len(terms) = 0 then 0.5 when n1 > 0 then least(1.0, 0.72 + 0.28 * least(n1, 2)) when n2 > 0 then least(1.0, 0.58 + 0.22 * least(n2, 2)) when n3 > 0 then least(0.42, 0.14 * n3) else 0.04 end, 6) as route from o"
+    "select query_id, round((case when len(terms) = 0 then 0.5 when n1 > 0 then least(1.0, 0.72 + 0.28 * least(n1, 2)) when n2 > 0 then least(1.0, 0.58 + 0.22 * least(n2, 2)) when n3 > 0 then least(0.42, 0.14 * n3) else 0.04 end)::double, 6) as route from o"
 )
 def route_score(spark, sf):
     return order_hits(spark, sf).select("query_id", F.round(R.route_score(F.col("route_terms")), 6).alias("route"))
 
 
 @query(
-    f"with {_H}, t as (select *, {_TERMS.format('')} as terms from h) select query_id, round(case when len(terms) = 0 then 0.5 else least(1.0, {_SHARED.format(a='terms', b='list_distinct(' + tok_sql('metric || chr(32) || section || chr(32) || substring(text, 1, 360)') + ')')} / len(terms)::double) end, 6) as metric_score from t"
+    f"with {_H}, t as (select *, {_TERMS.format('')} as terms from h) select query_id, round((case when len(terms) = 0 then 0.5 else least(1.0, {_SHARED.format(a='terms', b='list_distinct(' + tok_sql('metric || chr(32) || section || chr(32) || substring(text, 1, 360)') + ')')} / len(terms)::double) end)::double, 6) as metric_score from t"
 )
 def metric_align(spark, sf):
     terms = T.content_terms("question")
