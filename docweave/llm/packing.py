@@ -102,7 +102,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def run(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in blocks(batch, "text", 4 << 20):
+            for part in blocks(batch, "text", 2 << 20):
                 ids, n = enc.encode(Block(part.column(1)))
                 ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
                 many = -(-n // capacity)

@@ -7,12 +7,13 @@ Hashes are 64-bit tabulation hashes, the same in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _TABLE = _rng.integers(0, 2**64, size=(64, 256), dtype=np.uint64)
@@ -33,6 +34,14 @@ def lut_lower() -> np.ndarray:
     return lut
 
 
+def _trim() -> None:
+    """Return freed memory to the system: workers live on between tasks, beside others."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with about ``size`` bytes of text; a longer row is alone."""
     n = batch.num_rows
@@ -45,6 +54,7 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Itera
         end = min(n, max(at + 1, end))
         yield batch.slice(at, end - at)
         at = end
+    _trim()
 
 
 def _offsets(arr: pa.Array) -> np.ndarray:

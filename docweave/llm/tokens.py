@@ -17,7 +17,7 @@ import pyarrow as pa
 from docweave.llm.textblock import Block, span_hash
 
 DEFAULT = "word_bpe_49k.json"
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 GROUP = 48  # pieces to a call of the library
 
 _SEP = np.zeros(256, bool)

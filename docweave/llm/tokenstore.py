@@ -204,7 +204,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         enc = encoder(tokenizer)
         width = 2 if len(enc.ends) <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
         for batch in batches:
-            for part in blocks(batch, "text", 4 << 20):
+            for part in blocks(batch, "text", 2 << 20):
                 ids, n = enc.encode(Block(part.column(1)))
                 if end_id is not None:
                     ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
