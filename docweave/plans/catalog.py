@@ -439,7 +439,7 @@ def citations(spark, sf):
 
 _HITS = (
     "select o_orderkey as pos, o_orderkey as query_id, cast(quarter(o_orderdate) as string) as qt, cast(year(o_orderdate) + 30 as string) as yr, "
-    "case o_orderkey % 7 when 0 then 'Quanto faturou na Q2 de 2025?' when 1 then 'Meta de pedidos em 2026?' when 2 then 'como fazer o pedido' when 3 then 'O que é o pedido urgente' when 4 then 'Quantas pessoas trabalham na p3 de 2027' when 5 then 'Status do P1-2026-041' else 'pedido urgente alto' end as question, "
+    "case o_orderkey % 7 when 0 then 'Quanto faturou na Q2 de 2025?' when 1 then 'Meta de pedidos em 2026?' when 2 then 'como fazer o pedido' when 3 then 'O que é o pedido urgente' when 4 then 'Quantas pessoas trabalham na p3 de 2027' when 5 then 'Status do P1-2026-077' else 'pedido urgente alto' end as question, "
     "lower(replace(substring(o_orderpriority, 3), ' ', '_')) || (case when o_orderkey % 3 = 0 then '_' || cast(year(o_orderdate) + 30 as string) else '' end) || '.md' as source_name, "
     "'Status ' || o_orderstatus as section, case when o_orderkey % 5 < 2 then 'Q' || cast(quarter(o_orderdate) as string) || ' ' || cast(year(o_orderdate) + 30 as string) else '' end as period, "
     "case when o_orderkey % 2 = 0 then 'Pedido' else '' end as metric, 'Pedido ' || cast(o_orderkey as string) || ' do cliente ' || cast(o_custkey as string) || (case when o_orderkey % 4 = 0 then ' em ' || cast(year(o_orderdate) + 30 as string) else '' end) as text from {orders}"

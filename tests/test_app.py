@@ -17,7 +17,7 @@ CORPUS = {
     "metricas_vendas.md": "# Métricas de vendas\n\n## Receita\n\n| Indicador | Q1 2026 | Q2 2026 |\n|---|---|---|\n| Receita líquida | R$ 12 mi | R$ 14 mi |\n| Margem | 31% | 33% |\n",
     "sub/compostagem.md": "# Compostagem\n\nA pilha de folhas secas precisa de água e de ar para virar adubo em poucos meses.\n",
     "rios.md": "# Rios\n\n" + "\n\n".join(f"## Rio {n}\n\nO rio {n} nasce na serra {n}eira e corre para o mar de {n}opolis." for n in "aran bico cural delmo ermon fubal gorim hiten ilapo jurum kolan limbe morun napel orgil pavor quimel rostan".split()) + "\n",
-    "nota.txt": "Uma nota curta sobre o escritório novo em Campinas, aberto no verão.\n",
+    "nota.txt": "Uma nota curta sobre o escritório novo em Tapira, aberto no verão.\n",
 }
 
 

@@ -57,9 +57,9 @@ def test_markdown_titles(spark):
 
 
 FRAMES = [
-    ("Faturamento na Q1 de 2026?", ("quantity_period", 1, "2026", "q1", False)), ("Quanto na P1 de 2026", ("quantity_period", 1, "2026", "p1", False)), ("o que houve no P1-2026-041", ("incident", None, None, None, False)),
+    ("Faturamento na Q1 de 2026?", ("quantity_period", 1, "2026", "q1", False)), ("Quanto na P1 de 2026", ("quantity_period", 1, "2026", "p1", False)), ("o que houve no P1-2026-077", ("incident", None, None, None, False)),
     ("Meta de 2025?", ("generic", None, "2025", None, False)), ("como fazer deploy", ("procedure", None, None, None, False)), ("como fazer deploy em 2026", ("generic", None, "2026", None, False)),
-    ("Quantas pessoas trabalham aqui", ("quantity", None, None, None, True)), ("O que é a Aurora?", ("definition", None, None, None, False)), ("olá", ("generic", None, None, None, False)), (None, ("generic", None, None, None, False)),
+    ("Quantas pessoas trabalham aqui", ("quantity", None, None, None, True)), ("O que é a Brisa?", ("definition", None, None, None, False)), ("olá", ("generic", None, None, None, False)), (None, ("generic", None, None, None, False)),
 ]
 
 
