@@ -2,11 +2,13 @@
 
 A turn is formatted as ``<s>role\\ntext</s>``. Control strings inside roles and texts get a backslash
 after their first character (one more if they have some), so they can't be taken for marks and the
-texts can be read back. Conversations that begin with equal turns share nodes. Nodes are sorted by
-their path of turn hashes, which is a depth-first order, and laid on one token stream. A node has
-its stream interval, its position ids (it goes on where its parent ends), the interval of its tokens
-under the loss mask (the text of an assistant turn), and the stream intervals of its ancestors, which
-are all that its tokens may attend to besides their own past.
+texts can be read back. Conversations that begin with equal turns share nodes. A run of nodes without
+branches is a segment; nodes are sorted by their path of segments, then depth, which is a depth-first
+order, and laid on one token stream. A node has its stream interval, its position ids (it goes on
+where its parent ends), the interval of its tokens under the loss mask (the text of an assistant turn),
+and the stream intervals of its ancestors, one a segment, which are all that its tokens may attend
+to besides their own past. So a long conversation of its own has one interval a node, not one for
+each turn before.
 
 Tokens are code points, or with ``tokenizer`` the ids of that vocabulary (without loss intervals).
 Everything is done by keys: a first turn that a third of all conversations share is one node after
@@ -26,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.runtime import cut, ship_package
@@ -59,7 +61,7 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return role, unescape(body)
 
 
-_NODE = "conv_id long, depth int, node string, parent string, path array<string>, text string, role string, size long, before long, loss_start long, loss_end long, is_leaf boolean, ids array<int>"
+_NODE = "conv_id long, depth int, node string, parent string, text string, role string, size long, before long, loss_start long, loss_end long, is_leaf boolean, ids array<int>"
 
 
 def conversation_nodes(turns: DataFrame, loss_role: str = "assistant", tokenizer: str | None = None) -> DataFrame:
@@ -68,7 +70,7 @@ def conversation_nodes(turns: DataFrame, loss_role: str = "assistant", tokenizer
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     convs = turns.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     names = [x.split()[0] for x in _NODE.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
 
     def run(batches):
         if tokenizer:
@@ -76,7 +78,7 @@ def conversation_nodes(turns: DataFrame, loss_role: str = "assistant", tokenizer
         for batch in batches:
             rows, size = [], 0
             for conv, turns_ in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parent, path, before = "", [], 0
+                parent, before = "", 0
                 turns_ = turns_.as_py()
                 for depth, t in enumerate(turns_):
                     text, a, z = format_turn(t["role"], t["text"])
@@ -84,8 +86,7 @@ def conversation_nodes(turns: DataFrame, loss_role: str = "assistant", tokenizer
                     ids = encode_rows(pa.array([text]), tokenizer)[0].astype(np.int32).tolist() if tokenizer else None
                     n = len(ids) if tokenizer else len(text)
                     masked = t["role"] == loss_role and not tokenizer
-                    path = [*path, node]
-                    rows.append((conv, depth, node, parent or None, path, text, t["role"], n, before, a if masked else None, z if masked else None, depth + 1 == len(turns_), ids))
+                    rows.append((conv, depth, node, parent or None, text, t["role"], n, before, a if masked else None, z if masked else None, depth + 1 == len(turns_), ids))
                     parent, before, size = node, before + n, size + len(text)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -99,16 +100,22 @@ def conversation_nodes(turns: DataFrame, loss_role: str = "assistant", tokenizer
 def prefix_tree(turns: DataFrame, loss_role: str = "assistant", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The emitted nodes, and conv_id with the node it ends in (``leaf``).
 
-    Nodes: node, parent, depth, text, role, ids, stream_start, stream_end, position_start, loss_start and
-    loss_end (in the stream), and ``ancestors``, an array of (start, end) from the first turn on.
+    Nodes: node, parent, depth, segment, segments, text, role, ids, stream_start, stream_end, position_start,
+    loss_start and loss_end (in the stream), and ``ancestors``, an array of (start, end) from the first turn on.
     """
     spark = turns.sparkSession
     rows = cut(conversation_nodes(turns, loss_role, tokenizer), "chatrows")
     members = rows.where("is_leaf").select("conv_id", F.col("node").alias("leaf"))
     nodes = rows.drop("conv_id", "is_leaf").dropDuplicates(["node"])
+    edges = nodes.select("node", "parent")
+    forks = edges.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("parent")
+    starts = edges.where("parent is null").select("node").unionByName(edges.join(forks, "parent", "left_semi").select("node")).withColumn("start", F.lit(True))
+    along = Window.partitionBy("conv_id").orderBy("depth")
+    paths = rows.select("conv_id", "depth", "node").join(starts, "node", "left").withColumn("segments", F.collect_list(F.when(F.col("start"), F.col("node"))).over(along))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Parent before child: a path sorts before all that it begins.
-    ordered = nodes.repartitionByRange(n, "path").sortWithinPartitions("path")
+    # A segment sorts before all that branch from it.
+    nodes = nodes.join(paths.dropDuplicates(["node"]).select("node", "segments"), "node")
+    ordered = nodes.repartitionByRange(n, "segments", "depth").sortWithinPartitions("segments", "depth")
 
     def lay(batches):
         from pyspark import TaskContext
@@ -131,28 +138,33 @@ def prefix_tree(turns: DataFrame, loss_role: str = "assistant", tokenizer: str |
     based = laid.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
     start = F.col("base") + F.col("local")
     placed = based.select(
-        "node", "parent", "depth", "path", "text", "role", "ids", start.alias("stream_start"), (start + F.col("size")).alias("stream_end"), F.col("before").alias("position_start"),
+        "node", "parent", "depth", "segments", "text", "role", "ids", start.alias("stream_start"), (start + F.col("size")).alias("stream_end"), F.col("before").alias("position_start"),
         (start + F.col("loss_start")).alias("loss_start"), (start + F.col("loss_end")).alias("loss_end"),
     )
     placed = cut(placed, "chatplaced")
-    up = placed.where("depth > 0").select("node", F.explode(F.slice("path", F.lit(1), F.col("depth"))).alias("up"))
-    spans = placed.select(F.col("node").alias("up"), F.struct(F.col("stream_start").alias("start"), F.col("stream_end").alias("end")).alias("span"))
-    above = up.join(spans, "up").groupBy("node").agg(F.array_sort(F.collect_list("span")).alias("ancestors"))
+    own = F.element_at("segments", -1).alias("segment")
+    spans = placed.groupBy(own).agg(F.struct(F.min("stream_start").alias("start"), F.max("stream_end").alias("end")).alias("span"), F.first("segments").alias("segments"))
+    spans = cut(spans, "chatsegments")
+    up = spans.where(F.size("segments") > 1).select("segment", F.explode(F.slice("segments", F.lit(1), F.size("segments") - 1)).alias("up"))
+    above = up.join(spans.select(F.col("segment").alias("up"), "span"), "up").groupBy("segment").agg(F.array_sort(F.collect_list("span")).alias("above"))
+    whole = spans.select("segment", F.col("span.start").alias("_start")).join(above, "segment", "left")
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    return placed.join(above, "node", "left").withColumn("ancestors", F.coalesce("ancestors", none)), members
+    inside = F.when(F.col("stream_start") > F.col("_start"), F.array(F.struct(F.col("_start").alias("start"), F.col("stream_start").alias("end")))).otherwise(none)
+    out = placed.withColumn("segment", own).join(whole, "segment")
+    return out.withColumn("ancestors", F.concat(F.coalesce("above", none), inside)).drop("_start", "above"), members
 
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """conv_id and its conversation read from the emitted stream, by way of attention intervals.
 
-    Each distinct leaf is read once: its own tokens follow those of its ancestor intervals.
+    Each distinct leaf is read once: its own tokens follow those of its segments, which are its ancestor intervals.
     """
     ship_package(nodes.sparkSession)
     leaves = members.select("leaf").distinct()
-    own = nodes.select(F.col("node").alias("leaf"), "stream_start", "ancestors")
-    wanted = leaves.join(own, "leaf").select("leaf", F.explode(F.concat(F.transform("ancestors", lambda a: a["start"]), F.array("stream_start"))).alias("stream_start"))
-    piece = nodes.select("stream_start", F.struct("stream_start", "text", "loss_start", "loss_end").alias("piece"))
-    whole = wanted.join(piece, "stream_start").groupBy("leaf").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    own = nodes.select(F.col("node").alias("leaf"), F.col("depth").alias("last"), "segments")
+    wanted = leaves.join(own, "leaf").select("leaf", "last", F.explode("segments").alias("segment"))
+    piece = nodes.select("segment", "depth", F.struct("stream_start", "text", "loss_start", "loss_end").alias("piece"))
+    whole = wanted.join(piece, (wanted["segment"] == piece["segment"]) & (F.col("depth") <= F.col("last"))).groupBy("leaf").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
 
     def run(batches):
         for batch in batches:

@@ -44,7 +44,8 @@ def test_prefix_tree(spark):
         while node["parent"]:
             node = rows[node["parent"]]
             up.insert(0, {"start": node["stream_start"], "end": node["stream_end"]})
-        assert r["ancestors"] == up and r["position_start"] == sum(x["end"] - x["start"] for x in up)
+        places = lambda spans: sorted(x for s in spans for x in range(s["start"], s["end"]))
+        assert places(r["ancestors"]) == places(up) and r["position_start"] == len(places(up)) and len(r["ancestors"]) <= len(r["segments"])
     stack = []
     for r in order:
         while stack and stack[-1] != r["parent"]:
@@ -62,6 +63,14 @@ def test_prefix_tree(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), sha("".join(f"{a}\n{b}\n" for _, a, b in turns)), len(loss), sha(loss))
 
 
+def test_a_long_conversation_is_one_segment(spark):
+    rows = [(1, i, "user", f"turn {i}") for i in range(400)] + [(2, i, "user", f"turn {i}") for i in range(250)] + [(3, 0, "user", "turn 0"), (3, 1, "user", "other")]
+    nodes, members = chat.prefix_tree(conversations(spark, rows))
+    assert nodes.count() == 401 and max(len(r["ancestors"]) for r in nodes.collect()) == 2
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat.read_back(nodes, members).collect()}
+    assert got == {c: (n, sha("".join(f"user\nturn {i}\n" for i in range(n)))) for c, n in ((1, 400), (2, 250))} | {3: (2, sha("user\nturn 0\nuser\nother\n"))}
+
+
 def test_tree_with_token_ids_and_of_nothing(spark):
     from docweave.llm.tokens import default_path
 
