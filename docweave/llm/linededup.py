@@ -103,8 +103,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def _with_lines(docs: DataFrame, min_lines: int) -> DataFrame:
     later = repeated_suffixes(docs, min_lines).where(F.struct("doc", "hash", "line") != F.col("name"))
-    gone = later.groupBy(F.col("doc").alias("_doc"), F.col("hash").alias("_hash")).agg(F.collect_list("line").alias("_lines"))
-    return docs.join(gone, (_doc_key() == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_doc", "_hash")
+    gone = later.groupBy(F.col("doc").alias("__dw_doc"), F.col("hash").alias("__dw_hash")).agg(F.collect_list("line").alias("__dw_lines"))
+    return docs.join(gone, (_doc_key() == F.col("__dw_doc")) & (F.xxhash64("text") == F.col("__dw_hash")), "left").drop("__dw_doc", "__dw_hash")
 
 
 def delete_lines(text: str, at: list[int], full: list[bool], min_lines: int) -> tuple[str, int, int]:
@@ -146,7 +146,7 @@ def line_report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
                 sha = [hashlib.sha256((t if t is not None else (part.column(1)[i].as_py() or "")).encode()).hexdigest() for i, (t, _, _) in enumerate(got)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k + r for _, k, r in got], pa.int64()), pa.array([r for _, _, r in got], pa.int64()), pa.array(sha)], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    rows = _with_lines(docs.select("doc_id", "text"), min_lines).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_lines")
+    rows = _with_lines(docs.select("doc_id", "text"), min_lines).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__dw_lines")
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
@@ -161,7 +161,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "text"):
                 at = part.schema.get_field_index
-                got = _solve(part, at("text"), at("_lines"), min_lines)
+                got = _solve(part, at("text"), at("__dw_lines"), min_lines)
                 cols = {c: part.column(at(c)) for c in columns}
                 changed = [t for t, _, _ in got]
                 if any(t is not None for t in changed):

@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is its group's smallest doc_id."""
     gone = cut(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone.withColumnRenamed("doc_id", "__dw_gone"), docs["doc_id"] == F.col("__dw_gone"), "left_anti")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

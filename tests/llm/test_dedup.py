@@ -95,7 +95,7 @@ def test_near_duplicates_edge_tables(spark):
     t = filler(1, 40)
     got = neardup.near_duplicates(docs(spark, [t, t, t, None, ""], ids=[5, 5, None, 7, 8])).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == [("5", "5", True), ("5", "5", True), ("7", "7", True), ("8", "8", True), ("None", "None", True)]
-    d = docs(spark, [t, t + " x", "other", None], extra=("kept",))
+    d = docs(spark, [t, t + " x", "other", None], extra=("kept", "_gone"))
     left = neardup.drop_near_duplicates(d)
     assert left.columns == d.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 2, 3]
 
@@ -200,7 +200,7 @@ def test_line_dedup(spark):
 
 def test_dedup_lines_and_runs(spark):
     a, b, c = (filler(i, 6) for i in range(3))
-    d = docs(spark, [f"{a}\n{b}\n{c}", f"{a}\n{b}\n{c}", f"{c}\n{a}\n{b}\nnew", None, ""], extra=("hash",))
+    d = docs(spark, [f"{a}\n{b}\n{c}", f"{a}\n{b}\n{c}", f"{c}\n{a}\n{b}\nnew", None, ""], extra=("hash", "_lines", "_doc"))
     left = linededup.dedup_lines(d)
     assert left.columns == d.columns
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()}
