@@ -268,8 +268,9 @@ def _distinct_sets(spark, sf):
 
 
 _NEAR = (
-    f"with s0 as (select doc_id, {set_sql('text')} as t from documents), s as (select min(doc_id) as doc_id, t from s0 where len(t) > 0 group by t) select x.doc_id as doc_id, y.doc_id as repeats from s x join s y on y.doc_id < x.doc_id "
-    f"and len(y.t) >= 0.82 * len(x.t) and ({_JACCARD.format(a='x.t', b='y.t')} >= 0.82 or (len(x.t) >= 4 and {_CONTAINED.format(a='x.t', b='y.t')} >= 0.92))"
+    f"with s0 as (select doc_id, {set_sql('text')} as t from documents), s as (select min(doc_id) as doc_id, t, len(t) as n from s0 where len(t) > 0 group by t), e as (select doc_id, n, unnest(t) as term from s), "
+    "p as (select x.doc_id as x, y.doc_id as y, x.n as n, y.n as m, count(*) as k from e x join e y on x.term = y.term and y.doc_id < x.doc_id group by all) "
+    "select x as doc_id, y as repeats from p where k / (n + m - k)::double >= 0.82 or (n >= 4 and k / n::double >= 0.92)"
 )
 
 
