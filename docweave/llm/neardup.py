@@ -14,7 +14,7 @@ as many rows as members. A cluster beyond ``CELL_MEMBERS`` or ``CELL_SHINGLES``
 of blocks is a task of its own, so no task holds more than two blocks. Components of the stars are the
 result.
 
-With 25 bands of 5, a pair at similarity 0.85 shares no band with probability 5e-7.
+With 25 bands of 5, a pair at similarity 0.85 shares no band with probability 5e-7, one at 0.8 with 5e-5.
 
 Defined results: null and word-less texts have empty sets, link with nothing and stay; rows of one
 doc_id are one document; rows with a null doc_id have a null component and stay; an empty table gives no

@@ -5,7 +5,7 @@ from docweave.llm.packing import CAPACITY
 from docweave.llm.tokens import encoder
 from tests.llm.helpers import docs, filler, prose
 from tests.llm.test_decontam_quality import brute_decontam
-from tests.llm.test_dedup import near_truth
+from tests.llm.test_dedup import near_truth, variants
 
 
 def page(i):
@@ -51,3 +51,10 @@ def test_run(spark, tmp_path):
     docs(spark, []).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_near_dedup_stage_takes_similarity_of_80_percent(spark):
+    # By edits, most variants lie at 0.95, 0.86, 0.81 and 0.77 of their base; one of 5 edits (22) is at 0.806.
+    texts = [t for edits in (1, 3, 4, 5) for t in variants(20 + edits, 6, edits)]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()}
+    assert kept == {i for i, (_, c) in near_truth(texts, 80).items() if c == i} == {0, 7, 14, 21, *range(23, 28)}
