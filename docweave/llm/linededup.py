@@ -12,6 +12,10 @@ A suffix whose interval of at least ``min_lines`` lines has an earlier place beg
 lines of such runs are deleted, so of each maximal repeated run the earliest copy stays. Intervals are
 in order of first places, not of line contents, which no result depends on.
 
+With ``long_words``, a repeated run of one line counts too if the line has so many words: the first round
+has its earliest place already. The first copy of a line never goes, since a run around it that had an
+earlier place would give the line one.
+
 No group of equal lines meets in one task: names come from partial aggregates and are joined back on
 (name, next name), one row a key on one side, which adaptive execution can split.
 
@@ -33,6 +37,7 @@ from docweave.llm.textblock import Block, blocks, lut_is_space, span_hash
 from docweave.runtime import cut, ship_package
 
 MIN_LINES = 2
+LONG_WORDS = 13  # words from which a line is a run by itself, in dedup_lines
 LAST = 2**63 - 1
 SPACE = lut_is_space()
 
@@ -50,8 +55,8 @@ def _full_lines(b: Block):
     return solid[a[full]] if full.any() else np.zeros(0, np.int64), solid[z[full] - 1] + 1 if full.any() else np.zeros(0, np.int64), row[full], full
 
 
-def line_ids(docs: DataFrame) -> DataFrame:
-    """doc, hash, line (0.. among lines with a word) and the id (a, b) of every line."""
+def line_ids(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """doc, hash, line (0.. among lines with a word), whether it is long, and the id (a, b) of every line."""
     ship_package(docs.sparkSession)
 
     def run(batches):
@@ -61,24 +66,32 @@ def line_ids(docs: DataFrame) -> DataFrame:
                 s, e, row, _ = _full_lines(b)
                 n = np.bincount(row, minlength=b.n)
                 line = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-                cols = [np.asarray(part.column(0))[row], np.asarray(part.column(2))[row], line.astype(np.int32), span_hash(b.data, s, e, 1).view(np.int64), span_hash(b.data[::-1], len(b.data) - e[::-1], len(b.data) - s[::-1], 2)[::-1].copy().view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "hash", "line", "a", "b"])
+                long = np.zeros(len(row), bool)
+                if long_words is not None:
+                    word = b.spans(SPACE)[0]
+                    long = np.searchsorted(word, e) - np.searchsorted(word, s) >= long_words
+                cols = [np.asarray(part.column(0))[row], np.asarray(part.column(2))[row], line.astype(np.int32), long, span_hash(b.data, s, e, 1).view(np.int64), span_hash(b.data[::-1], len(b.data) - e[::-1], len(b.data) - s[::-1], 2)[::-1].copy().view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "hash", "line", "long", "a", "b"])
 
     rows = docs.select(_doc_key().alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    return rows.mapInArrow(run, "doc long, hash long, line int, a long, b long")
+    return rows.mapInArrow(run, "doc long, hash long, line int, long boolean, a long, b long")
 
 
-def _named(rows: DataFrame, key: list[str]) -> DataFrame:
+def _named(rows: DataFrame, key: list[str], more: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose key occurs at several places, with the earliest of these as ``name``."""
     place = F.struct("doc", "hash", "line")
     names = rows.groupBy(*key).agg(F.min(place).alias("name"), F.max(place).alias("last")).where("name <> last").drop("last")
-    return cut(rows.join(names, key).select("doc", "hash", "line", "name"), "names")
+    return cut(rows.join(names, key).select("doc", "hash", "line", *more, "name"), "names")
+
+
+def repeated_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
+    """doc, hash, line, long, name: lines that stand at several places."""
+    return _named(cut(line_ids(docs, long_words), "lines"), ["a", "b"], ("long",))
 
 
-def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc, hash, line, name: suffixes whose first ``min_lines`` lines stand at several places."""
-    lines = cut(line_ids(docs), "lines")
-    rows, width = _named(lines, ["a", "b"]), 1
+def repeated_suffixes(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc, hash, line, name of ``repeated_lines`` whose first ``min_lines`` lines stand at several places."""
+    rows, width = lines.drop("long"), 1
     while width < min_lines:
         step = min(width, min_lines - width)
         after = rows.select("doc", "hash", (F.col("line") - step).alias("line"), F.col("name").alias("next"))
@@ -87,6 +100,10 @@ def repeated_suffixes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return rows
 
 
+def _later(rows: DataFrame) -> DataFrame:
+    return rows.where(F.struct("doc", "hash", "line") != F.col("name"))
+
+
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """Maximal repeated runs: doc, hash, line, n_lines, and the place of the copy that stays.
 
@@ -94,22 +111,27 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    later = repeated_suffixes(docs, min_lines).where(F.struct("doc", "hash", "line") != F.col("name"))
+    later = _later(repeated_suffixes(repeated_lines(docs), min_lines))
     w = Window.partitionBy("doc", "hash", "name.doc", "name.hash", F.col("name.line") - F.col("line")).orderBy("line")
     runs = later.withColumn("run", F.col("line") - F.row_number().over(w))
     group = ["doc", "hash", F.col("name.doc").alias("source_doc"), F.col("name.hash").alias("source_hash"), (F.col("name.line") - F.col("line")).alias("shift"), "run"]
     return runs.groupBy(*group).agg(F.min("line").alias("line"), (F.count(F.lit(1)) + min_lines - 1).alias("n_lines"), F.min("name.line").alias("source_line")).drop("shift", "run")
 
 
-def _with_lines(docs: DataFrame, min_lines: int) -> DataFrame:
-    later = repeated_suffixes(docs, min_lines).where(F.struct("doc", "hash", "line") != F.col("name"))
-    gone = later.groupBy(F.col("doc").alias("__dw_doc"), F.col("hash").alias("__dw_hash")).agg(F.collect_list("line").alias("__dw_lines"))
+def _with_lines(docs: DataFrame, min_lines: int, long_words: int | None) -> DataFrame:
+    """``docs`` with the places of runs of ``min_lines`` to delete, and those of long lines."""
+    lines = repeated_lines(docs, long_words)
+    later = _later(repeated_suffixes(lines, min_lines)).select("doc", "hash", "line", F.lit(False).alias("long"))
+    if long_words is not None:
+        later = later.unionByName(_later(lines).where("long").drop("name"))
+    of = lambda long: F.collect_list(F.when(F.col("long") == long, F.col("line")))
+    gone = later.groupBy(F.col("doc").alias("__dw_doc"), F.col("hash").alias("__dw_hash")).agg(of(False).alias("__dw_lines"), of(True).alias("__dw_long"))
     return docs.join(gone, (_doc_key() == F.col("__dw_doc")) & (F.xxhash64("text") == F.col("__dw_hash")), "left").drop("__dw_doc", "__dw_hash")
 
 
-def delete_lines(text: str, at: list[int], full: list[bool], min_lines: int) -> tuple[str, int, int]:
-    """The text without runs of ``min_lines`` lines from each place in ``at``; lines left and deleted, of those with a word."""
-    gone = {i + j for i in at for j in range(min_lines)}
+def delete_lines(text: str, at: list[int], alone: list[int], full: list[bool], min_lines: int) -> tuple[str, int, int]:
+    """The text without runs of ``min_lines`` lines from each place in ``at`` and lines in ``alone``; lines left and deleted, of those with a word."""
+    gone = {i + j for i in at for j in range(min_lines)} | set(alone)
     kept, n, removed = [], 0, 0
     for line, has in zip(text.split("\n"), full):
         if has:
@@ -121,37 +143,37 @@ def delete_lines(text: str, at: list[int], full: list[bool], min_lines: int) ->
     return "\n".join(kept), n - removed, removed
 
 
-def _solve(part: pa.RecordBatch, text: int, lines: int, min_lines: int):
+def _solve(part: pa.RecordBatch, text: int, lines: int, long: int, min_lines: int):
     b = Block(part.column(text))
     _, _, _, full = _full_lines(b)
     _, _, row = b.line_spans()
     n = np.bincount(row[full], minlength=b.n)
     first = np.searchsorted(row, np.arange(b.n + 1))
     out = []
-    for i, at in enumerate(part.column(lines).to_pylist()):
-        if at:
-            out.append(delete_lines(part.column(text)[i].as_py(), at, full[first[i] : first[i + 1]].tolist(), min_lines))
+    for i, (at, alone) in enumerate(zip(part.column(lines).to_pylist(), part.column(long).to_pylist())):
+        if at or alone:
+            out.append(delete_lines(part.column(text)[i].as_py(), at, alone, full[first[i] : first[i + 1]].tolist(), min_lines))
         else:
             out.append((None, int(n[i]), 0))
     return out
 
 
-def line_report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_report(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_sha256 of the text that stays."""
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch, "text"):
-                got = _solve(part, 1, 2, min_lines)
+                got = _solve(part, 1, 2, 3, min_lines)
                 sha = [hashlib.sha256((t if t is not None else (part.column(1)[i].as_py() or "")).encode()).hexdigest() for i, (t, _, _) in enumerate(got)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k + r for _, k, r in got], pa.int64()), pa.array([r for _, _, r in got], pa.int64()), pa.array(sha)], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
-    rows = _with_lines(docs.select("doc_id", "text"), min_lines).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__dw_lines")
+    rows = _with_lines(docs.select("doc_id", "text"), min_lines, long_words).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__dw_lines", "__dw_long")
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with later copies of line runs deleted from ``text``, and ``n_chars`` counted anew there.
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """``docs`` with later copies of line runs and of long lines deleted from ``text``, and ``n_chars`` counted anew there.
 
     A document of which no line with a word is left goes.
     """
@@ -161,7 +183,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "text"):
                 at = part.schema.get_field_index
-                got = _solve(part, at("text"), at("__dw_lines"), min_lines)
+                got = _solve(part, at("text"), at("__dw_lines"), at("__dw_long"), min_lines)
                 cols = {c: part.column(at(c)) for c in columns}
                 changed = [t for t, _, _ in got]
                 if any(t is not None for t in changed):
@@ -171,7 +193,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
                 keep = pa.array([not (r and not k) for _, k, r in got])
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).filter(keep)
 
-    return _with_lines(docs, min_lines).mapInArrow(run, docs.schema)
+    return _with_lines(docs, min_lines, long_words).mapInArrow(run, docs.schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

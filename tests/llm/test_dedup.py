@@ -210,3 +210,15 @@ def test_dedup_lines_and_runs(spark):
     assert linededup.line_report(docs(spark, [])).count() == 0
     again = linededup.line_report(docs(spark, [f"{a}\n{b}"] * 3, ids=[1, 1, None])).collect()
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in again) == [("1", 0), ("1", 0), ("None", 2)]
+
+
+def test_repeated_long_lines_go_whatever_their_neighbours(spark):
+    a, b, c, d = (filler(i, 6) for i in range(4))
+    long, short = filler(30, 13), filler(31, 12)
+    texts = [f"{a}\n{long}\n{b}", f"{c}\n  {long} \n{d}", long, f"{short}\n{c}", f"{d}\n{short}", f"{b}\n{d}\n{long}\n{filler(40, 20)}\n{long}", f"{c}\n{long}\n{b}\nx"]
+    # Document 6 repeats (c, long) and (long, b) as runs of two lines; the repeated line of 4 is too short to be a run.
+    want = {0: texts[0], 1: f"{c}\n{d}", 3: texts[3], 4: texts[4], 5: f"{b}\n{d}\n{filler(40, 20)}", 6: "x"}
+    left = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, texts, extra=("long", "_long"))).collect()}
+    assert left == want
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in linededup.line_report(docs(spark, texts), long_words=13).collect()}
+    assert got == {i: (n, sha(want.get(i, ""))) for i, n in enumerate([0, 1, 1, 0, 0, 2, 3])}
