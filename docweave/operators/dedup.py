@@ -30,6 +30,15 @@ def exact_set_dedup(chunks: DataFrame) -> DataFrame:
     return chunks.join(first.select("pos"), "pos", "left_semi")
 
 
+def set_classes(chunks: DataFrame) -> DataFrame:
+    """pos, first: the earliest chunk with the same term set; null where the set is empty."""
+    terms = F.array_sort(unique_terms("text"))
+    sets = cut(chunks.select("pos", F.when(F.size(terms) > 0, F.sha2(F.array_join(terms, " "), 256)).alias("_key")), "classes")
+    full = sets.where("_key is not null")
+    named = full.join(full.groupBy("_key").agg(F.min("pos").alias("first")), "_key").select("pos", "first")
+    return named.unionByName(sets.where("_key is null").select("pos", F.lit(None).cast(sets.schema["pos"].dataType).alias("first")))
+
+
 def fact_key_dedup(facts: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """The first fact of each key by ``order``: a partial aggregate, no window."""
     rest = [c for c in facts.columns if c not in keys]

@@ -279,6 +279,20 @@ def near_duplicate_pairs(spark, sf):
     return D.near_duplicate_pairs(_distinct_sets(spark, sf)).select(F.col("x").alias("doc_id"), F.col("y").alias("repeats"))
 
 
+@query(
+    f"with near as ({_NEAR}), links as (select pos, count(*) as n from (select doc_id as pos from near union all select repeats from near) group by pos), "
+    f"s as (select doc_id, {set_sql('text')} as t from documents), c as (select min(doc_id) as first, t from s where len(t) > 0 group by t) "
+    "select doc_id, first as representative, coalesce(n, 0) as n_links from s left join c on s.t = c.t left join links on links.pos = first"
+)
+def near_duplicate_members(spark, sf):
+    """Every document with the first one of its term set (null for an empty set), which stands for it in
+    ``near_duplicate_pairs``, and in how many of those pairs that one is."""
+    pairs = near_duplicate_pairs(spark, sf)
+    links = pairs.select(F.explode(F.array("doc_id", "repeats")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    members = D.set_classes(docs(spark, sf)).join(links, "first", "left")
+    return members.select(F.col("pos").alias("doc_id"), F.col("first").alias("representative"), F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
 @query()
 def near_duplicate_greedy(spark, sf):
     sets = _distinct_sets(spark, sf)

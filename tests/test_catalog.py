@@ -58,6 +58,17 @@ def test_greedy_query_against_a_plain_loop(spark):
     assert sorted(r["doc_id"] for r in QUERIES["near_duplicate_greedy"](spark, SF).collect()) == [i for i, _ in kept]
 
 
+def test_near_duplicate_members_name_every_document(spark, tmp_path):
+    base = " ".join(f"palavra{i}" for i in range(20))
+    texts = [base, base, " ".join(reversed(base.split())), base + " outra", "coisa bem diferente", "", None, base + " outra"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["near_duplicate_members"](spark, f"file://{tmp_path}").select("doc_id", "representative", "n_links").collect()}
+    assert got == {(0, 0, 1), (1, 0, 1), (2, 0, 1), (3, 3, 1), (4, 4, 0), (5, None, 0), (6, None, 0), (7, 3, 1)}
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(c.sql(SQL["near_duplicate_members"]).fetchall()) == got
+
+
 def test_entry_without_the_llm_folder(monkeypatch):
     import builtins
 
