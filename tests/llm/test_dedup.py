@@ -212,6 +212,40 @@ def test_dedup_lines_and_runs(spark):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in again) == [("1", 0), ("1", 0), ("None", 2)]
 
 
+def test_long_runs_and_the_intervals_they_come_from(spark, monkeypatch):
+    """Runs of 3 to 50 lines are found whole, in intervals of doubling width, over many ranges."""
+    monkeypatch.setattr(linededup, "RANGE_ROWS", 20)
+    line = lambda i: filler(1000 + i, 4)
+    source = "\n".join(line(i) for i in range(120))
+    sizes = [3, 4, 5, 7, 8, 13, 16, 31, 32, 50]
+    texts = [source] + ["\n".join([line(500 + n), *([line(i) for i in range(2 * n, 3 * n)] if n <= 40 else [line(i) for i in range(n, 2 * n)]), line(700 + n)]) for n in sizes]
+    d = docs(spark, texts)
+    runs = {(r["doc"], r["line"]): (r["n_lines"], r["source_doc"], r["source_line"]) for r in linededup.repeated_runs(d).collect()}
+    for i, n in enumerate(sizes, 1):
+        at = 2 * n if n <= 40 else n
+        whole = [k for k in runs if k[0] == i]
+        # The run is one if its earliest copies lie in the source alone.
+        assert runs[i, 1] == (n, 0, at) and whole == [(i, 1)], (n, whole)
+    widths = [w for w, _ in linededup.suffix_intervals(d)]
+    assert widths == [1, 2, 4, 8, 16, 32]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in linededup.line_report(d).collect()}
+    assert got == line_truth(list(enumerate(texts)), 2)
+
+
+def test_intervals_across_ranges(spark, monkeypatch):
+    """One line in all documents, more rows than a range holds: its interval goes on over ranges."""
+    monkeypatch.setattr(linededup, "RANGE_ROWS", 7)
+    a, b = filler(1, 5), filler(2, 5)
+    texts = [f"{a}\n{filler(50 + i, 4)}\n{a}\n{b}" if i % 3 else f"{a}\n{b}\n{a}\n{b}\n{a}" for i in range(40)]
+    rows = list(enumerate(texts))
+    for k in (1, 2, 3, 5):
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in linededup.line_report(docs(spark, texts), k).collect()}
+        assert got == line_truth(rows, k), k
+    twice = docs(spark, texts).unionByName(docs(spark, texts))
+    got = [(r["doc_id"], r["n_removed"]) for r in linededup.line_report(twice).collect()]
+    assert sorted(got) == sorted(2 * [(i, n) for i, (_, n, _) in line_truth(rows, 2).items()])
+
+
 def test_repeated_long_lines_go_whatever_their_neighbours(spark):
     a, b, c, d = (filler(i, 6) for i in range(4))
     long, short = filler(30, 13), filler(31, 12)
