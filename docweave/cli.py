@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from docweave.agent import AgentRegistry, ChatAgent, MessageBus, tools_to_mcp
+from docweave.agent import ChatAgent, Post, Reply, default_post
 from docweave.plans import engine as E
 from docweave.settings import Settings
 from docweave.sources.convert import CONVERTIBLE
@@ -20,9 +20,9 @@ def session() -> SparkSession:
     return spark
 
 
-def build_app(spark: SparkSession, settings: Settings) -> tuple[ChatAgent, MessageBus]:
-    agent = ChatAgent(spark, E.load_index(spark, settings.index_dir), settings)
-    return agent, MessageBus(AgentRegistry(agent))
+def build_app(spark: SparkSession, settings: Settings) -> tuple[ChatAgent, Post]:
+    post = default_post(spark, settings)
+    return post.agents[ChatAgent.name], post
 
 
 def ingest(spark: SparkSession, settings: Settings, source: str | None = None) -> dict:
@@ -81,12 +81,12 @@ def chat(spark: SparkSession, settings: Settings, trace: bool) -> int:
             show(agent.run(said), trace)
 
 
-def show(result, trace: bool) -> None:
+def show(result: Reply, trace: bool) -> None:
     print(result.text)
     for i, c in enumerate(result.citations, 1):
         print(f"[{i}] {c['source']}: {c['preview']}")
     if trace:
-        print("\n".join(result.tool_trace))
+        print("\n".join(result.trace))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -116,7 +116,7 @@ def main(argv: list[str] | None = None) -> int:
         return chat(spark, settings, args.trace)
     agent, _ = build_app(spark, settings)
     if args.cmd == "tools":
-        for t in tools_to_mcp(agent):
+        for t in agent.tools.schemas():
             print(t["name"], "-", t["description"])
         return 0
     result = agent.run(args.question)

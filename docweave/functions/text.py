@@ -1,7 +1,8 @@
-"""Text functions as Column expressions: everything here stays inside code generation.
+"""Text functions as Column expressions: everything here stays inside the JVM.
 
-``fold`` lower-cases and strips accents of precomposed letters. It equals compatibility decomposition
-for them; ``fold_exact`` also decomposes signs such as ``º ² ½``, with one pass through Python.
+``fold`` lower-cases, undoes compatibility signs and deletes combining marks, whether a letter comes
+composed or not, so ``tokens`` of it equal those of ``fold_text``. Signs that decompose into nothing of
+ASCII (Hangul syllables, say) stay as they are, which no token sees.
 """
 
 from __future__ import annotations
@@ -15,33 +16,64 @@ from pyspark.sql import functions as F
 from docweave.functions import lexicon as L
 
 
-def _accents() -> tuple[str, str]:
-    """Letters below U+2000 that decompose into an ASCII letter and marks, and those letters."""
-    pairs = []
-    for code in range(0xC0, 0x2000):
+def _signs() -> tuple[str, str, dict[str, str]]:
+    """Signs that fold to one ASCII character, and these, then combining marks; signs that fold to several."""
+    ones, marks, several = [], [], {}
+    for code in range(0x80, 0x20000):
         c = chr(code)
-        d = unicodedata.normalize("NFKD", c)
-        if len(c.lower()) == 1 and c == c.lower() and len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(map(unicodedata.combining, d[1:])):
-            pairs.append((c, d[0]))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
-
-
-ACCENTED, PLAIN = _accents()
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        d = fold_text(c)
+        if c.lower() != c or d == c or not any(x.isascii() and x.isprintable() for x in d):
+            continue
+        if len(d) == 1:
+            ones.append((c, d))
+        elif any(x.isascii() and x.isalnum() for x in d):
+            several[c] = d
+    return "".join(c for c, _ in ones) + "".join(marks), "".join(d for _, d in ones), several
 
 
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def fold(c: Column | str) -> Column:
-    return F.translate(F.lower(as_col(c)), ACCENTED, PLAIN)
-
-
 def fold_text(text: str) -> str:
     """The exact fold of a Python string."""
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
+FROM, TO, SEVERAL = _signs()
+
+
+def _ranges(signs) -> str:
+    """A character class of the signs, neighbours joined."""
+    codes, out = sorted(map(ord, signs)), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in out) + "]"
+
+
+_SEVERAL = _ranges(SEVERAL)
+_NAMED = "\n".join(f"{c}\t{d}" for c, d in SEVERAL.items())
+
+
+def _apart(x: Column) -> Column:
+    """Signs that fold to several characters, written out; the map is one literal."""
+    pieces = F.regexp_extract_all(x, F.lit(f"{_SEVERAL}|[^{_SEVERAL[1:-1]}]+"), F.lit(0))
+    named = F.str_to_map(F.lit(_NAMED), F.lit("\n"), F.lit("\t"))
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(named, p), p)), "")
+
+
+def fold(c: Column | str) -> Column:
+    """``c`` stands once in the expression, so that folds of long expressions keep plans small."""
+    lower = F.array(F.lower(as_col(c)))
+    return F.transform(lower, lambda x: F.translate(F.when(x.rlike(_SEVERAL), _apart(x)).otherwise(x), FROM, TO))[0]
+
+
 def fold_exact(c: Column | str) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(fold_text, na_action="ignore")

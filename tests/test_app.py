@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave import agent as G
 from docweave import cli
+from docweave.operators import answer as A
 from docweave.plans import engine as E
 from docweave.settings import Settings
 from docweave.sources import convert as C
@@ -64,29 +65,47 @@ def test_ask_many(spark, index):
     assert got[1]["citations"][0]["rank"] == 1 and len(got[1]["citations"]) <= 6
 
 
-def test_agent_bus_and_tools(spark, index):
+def test_agent_post_and_tools(spark, index):
     agent = G.ChatAgent(spark, index[0])
-    bus = G.MessageBus(G.AgentRegistry(agent))
-    result = bus.send(G.Envelope("me", "rag_chat", "Quantos dias de férias cada funcionário tem?"))
-    assert result.answer_ok and "30 dias" in result.text and result.citations and [line.split(" -> ")[0] for line in result.tool_trace[:3]] == list(agent.ORDER)
-    assert [e.sender for e in bus.log] == ["me", "rag_chat"] and bus.log[1].meta == {"quality_ok": True, "answer_ok": True}
+    post = G.Post(agent)
+    reply = post.deliver(G.Letter("me", "rag_chat", "Quantos dias de férias cada funcionário tem?"))
+    assert reply.answer_ok and "30 dias" in reply.text and reply.citations and [line.split(":")[0] for line in reply.trace[:3]] == list(agent.ORDER)
+    assert [e.sender for e in post.letters] == ["me", "rag_chat"] and post.letters[1].about == {"quality_ok": True, "answer_ok": True}
     with pytest.raises(KeyError):
-        bus.send(G.Envelope("me", "other", "x"))
-    names = [t["name"] for t in G.tools_to_mcp(agent)]
-    assert names == list(agent.ORDER) == [t["name"] for t in agent.tool_schemas()]
+        post.deliver(G.Letter("me", "other", "x"))
+    listed = agent.tools.schemas()
+    assert [t["name"] for t in listed] == list(agent.ORDER) and listed[1]["inputSchema"]["required"] == ["question", "hits"]
     with pytest.raises(KeyError):
-        G.dispatch_mcp_call(agent, "none", {})
-    agent.register_tool(G.ToolSpec("rewrite_and_retrieve", "", G._schema(question="string"), lambda question: 1 / 0))
+        agent.tools.call("none")
+    assert agent.tools.call("draft_answer", question="x", hits=[]) == A.NO_HITS
+    agent.tools.put(G.Tool("rewrite_and_retrieve", "", {"question": "string"}, lambda question: 1 / 0))
     failed = agent.run("x")
-    assert failed.text.startswith("Falha na tool rewrite_and_retrieve") and not failed.answer_ok
-    assert agent.act(G.ToolCall("none", {})).error == "tool desconhecida"
+    assert "rewrite_and_retrieve" in failed.text and "division by zero" in failed.text and not failed.answer_ok
+    unknown = agent.tools.use("none")
+    assert not unknown.ok and "none" in unknown.failure
+    assert [r["role"] for r in agent.memory.rows()] == ["user", "assistant"] * 2
+
+
+def test_a_script_that_never_ends(spark):
+    class Loop(G.Agent):
+        def script(self, said, trace):
+            while True:
+                yield "echo", {"x": said}
+
+    reply = Loop([G.Tool("echo", "", {"x": "string"}, lambda x: x)]).run("a")
+    assert len(reply.trace) == G.STEPS and not reply.answer_ok
+
+
+def test_default_post(spark, index):
+    post = G.default_post(spark, Settings(index_dir=index[1]["index_dir"]))
+    assert list(post.agents) == ["rag_chat"]
 
 
 def test_memory():
-    m = G.ConversationMemory(2)
+    m = G.Memory(2)
     for i in range(6):
-        m.add("user" if i % 2 == 0 else "assistant", str(i))
-    assert [x["content"] for x in m.as_dicts()] == ["2", "3", "4", "5"] and m.user_history() == ["2", "4"]
+        m.note("user" if i % 2 == 0 else "assistant", str(i))
+    assert [x["content"] for x in m.rows()] == ["2", "3", "4", "5"] and m.asked() == ["2", "4"]
 
 
 def docx(paragraphs):

@@ -11,7 +11,7 @@ from docweave.operators import index as I
 from docweave.operators import rank as R
 from docweave.operators import search as S
 from docweave.operators.order import global_row_number
-from docweave.operators.rewrite import Graph, question_terms, rewrite
+from docweave.operators.rewrite import rewrite_queries
 
 MD = """intro sem título
 
@@ -151,16 +151,37 @@ def frame(**more):
     return {"kind": "generic", "year": None, "period_n": None, "period_token": None, "people": False, "drop": []} | more
 
 
-def test_rewrite():
-    g = Graph(100, {"receita": 5, "lucro": 4, "q1": 5, "2025": 9, "comum": 60, "p1": 3}, {"receita": [("lucro", 3.0), ("comum", 2.0), ("2025", 1.0), ("2026", 0.5)], "2026": [("lucro", 1.0), ("receita", 1.0)], "q1": [("lucro", 1.0)], "p1": [("incidente", 2.0), ("ack", 1.0)]})
-    assert rewrite(frame(), "a receita", ["receita"], [], [], g)[1] == ["receita", "lucro"]  # comum is commoner, 2025 wasn't asked
-    assert rewrite(frame(kind="procedure"), "x", ["deploy", "passo"], [], [], Graph())[1] == ["deploy", "passo"]
-    search, words, notes = rewrite(frame(kind="quantity_period", year="2026", period_n=1, period_token="p1"), "x", ["receita", "p1", "2026"], [], [], g)
-    assert words == ["receita", "2026", "lucro", "q1"] and any("p1" in n for n in notes)
-    assert rewrite(frame(), "oi", ["sim"], ["historia", "longa"], ["dica"], Graph())[1] == ["sim", "historia", "longa", "dica"]
-    assert rewrite(frame(), "de", ["de"], [], [], Graph())[0] == "de"
-    t = question_terms(frame(drop=["lucro"]), ["qual", "receita", "lucro", "comum", "q1", "p1"], g)
-    assert t["route_terms"] == ["receita", "q1"] and t["metric_terms"] == ["lucro", "q1", "receita"] and t["quality_terms"] == ["receita", "q1", "p1"]
+def rewritten(spark, rows, df=None, near=None):
+    """The rewriting of (question, history, hint) rows with a graph of 100 chunks."""
+    queries = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "query_id long, question string, history string, hint string")
+    gdf = spark.createDataFrame([(t, n, 100) for t, n in (df or {}).items()], "term string, df long, n long")
+    edges = [(a, b, w, i + 1, (df or {}).get(b, 1)) for a, c in (near or {}).items() for i, (b, w) in enumerate(c)]
+    return rewrite_queries(queries, spark.createDataFrame(edges, "a string, b string, weight double, rank int, df_b long"), gdf).orderBy("query_id").collect()
+
+
+def test_rewrite(spark):
+    df = {"receita": 5, "lucro": 4, "q1": 5, "2025": 9, "comum": 60, "p1": 3, "2026": 9, "incidente": 2, "ack": 2}
+    near = {"receita": [("lucro", 3.0), ("comum", 2.0), ("2025", 1.0), ("2026", 0.5)], "2026": [("lucro", 1.0), ("receita", 1.0)], "q1": [("lucro", 1.0)], "p1": [("incidente", 2.0), ("ack", 1.0)]}
+    plain, period = rewritten(spark, [("a receita", None, None), ("receita p1 2026", None, None)], df, near)
+    assert plain["keywords"] == ["receita", "lucro"]  # comum is commoner, 2025 wasn't asked
+    assert period["frame"]["kind"] == "quantity_period" and period["keywords"] == ["receita", "2026", "lucro", "q1"] and any(n.startswith("p1:") for n in period["notes"])
+    steps, short, empty = rewritten(spark, [("passo a passo deploy", None, None), ("sim", "historia longa", "dica"), ("de", None, None)])
+    assert steps["frame"]["kind"] == "procedure" and steps["keywords"] == ["passo", "deploy"] and steps["notes"]
+    assert short["keywords"] == ["sim", "historia", "longa", "dica"]
+    assert empty["search_query"] == "de" and empty["keywords"] == [] and empty["metric_want"] == []
+
+
+def test_question_terms(spark):
+    df = {"receita": 5, "lucro": 4, "q1": 5, "comum": 60, "p1": 3}
+    (t,) = rewritten(spark, [("qual receita lucro comum q1 p1 fazer", None, None)], df, {"receita": [("lucro", 3.0), ("margem", 1.0)]})
+    assert t["frame"]["drop"][0] == "fazer" and t["route_terms"] == ["receita", "lucro", "q1"] and t["metric_terms"] == ["fazer", "lucro", "q1", "receita"]
+    assert t["metric_want"] == ["fazer", "lucro", "q1", "receita", "margem"] and t["quality_terms"] == ["receita", "lucro", "q1", "p1"] and t["quality_near"][0] == ["lucro", "margem"]
+
+
+def test_a_term_of_another_sense_goes(spark):
+    near = {"banco": [("praça", 2.0), ("jardim", 1.0)], "juros": [("taxa", 2.0), ("prazo", 1.0)], "taxa": [("juros", 2.0), ("prazo", 1.0)], "prazo": [("juros", 1.0), ("taxa", 1.0)]}
+    (got,) = rewritten(spark, [("banco juros taxa prazo", None, None)], {t: 5 for t in near}, near)
+    assert "banco" not in got["keywords"] and got["keywords"][:3] == ["juros", "taxa", "prazo"] and got["notes"][0].startswith("banco:")
 
 
 def test_answers_and_verdicts():

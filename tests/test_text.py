@@ -16,6 +16,18 @@ def column(spark, values, expr):
     return [r["x"] for r in sorted(rows, key=lambda r: r["i"])]
 
 
+def test_tokens_of_decomposed_text_and_signs(spark):
+    import re
+    import unicodedata
+
+    texts = [unicodedata.normalize("NFD", "ação de rescisão"), "1º m² ﬁm", "10½ kg", "１２ ａｂ ㎏", "İstanbul Kelvin K", None, ""]
+    words = [re.findall("[a-z0-9]{2,}", T.fold_text(t or "")) for t in texts]
+    assert words[:3] == [["acao", "de", "rescisao"], ["1o", "m2", "fim"], ["101", "kg"]]
+    assert column(spark, texts, lambda c: T.tokens(c, stopwords=False)) == words
+    every = ["".join(chr(c) for c in range(i, i + 256) if not 0xD800 <= c < 0xE000) for i in range(0, 0x20000, 256)]
+    assert column(spark, every, lambda c: T.tokens(c, stopwords=False)) == [re.findall("[a-z0-9]{2,}", T.fold_text(t)) for t in every]
+
+
 def test_fold_equals_decomposition_of_letters(spark):
     texts = ["Férias ÀÇÕ ñ ß", "ŠŽ ǆ ế Ự", "abc", "İstanbul"]
     plain = ["".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)) for t in texts]
