@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docweave.llm.chat import op3_chat_tree
+from docweave.llm.decontam import ORACLE as DECONTAM_SQL
 from docweave.llm.decontam import op2_decontaminate
 from docweave.llm.linededup import ORACLE as LINES_SQL
 from docweave.llm.linededup import op5_line_dedup
@@ -15,4 +16,4 @@ from docweave.llm.tokenstore import op10_token_store
 from docweave.llm.warc import op9_warc
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_chat_tree, op4_secrets, op5_line_dedup, op6_substring_dedup, op7_quality_rules, op8_near_duplicates, op9_warc, op10_token_store)}
-ORACLES: dict[str, str] = {"op5_line_dedup": LINES_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": DECONTAM_SQL, "op5_line_dedup": LINES_SQL}

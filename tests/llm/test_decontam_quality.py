@@ -44,6 +44,26 @@ def test_find_contamination(spark):
     assert raw[span["start"] : span["end"]].decode() == item.upper()
 
 
+def test_items_without_an_id_and_blocks(spark):
+    item = filler(9, 20)
+    bench = spark.createDataFrame([(None, item), (3, item + " more"), (None, "lonely words"), (1, item)], "item_id long, text string")
+    texts = [item, "x " + item + " more", "lonely words", None, filler(2, 30)]
+    d = docs(spark, texts, ids=[5, None, 5, 6, None])
+    want = [(5, 20, [1, 3, None]), (None, 21, [1, 3, None]), (5, 2, [None]), (6, 0, []), (None, 0, [])]
+    for limit in (decontam.MAX_WINDOWS, 5):
+        got = [(r["doc_id"], r["n_hit"], r["item_ids"]) for r in decontam.find_contamination(d, bench, max_windows=limit).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        assert sorted(str(r["doc_id"]) for r in decontam.remove_contaminated(d, bench, max_windows=limit).collect()) == ["6", "None"]
+        assert decontam.remove_contaminated(d.unionByName(d), bench, max_windows=limit).count() == 4
+
+
+def test_a_window_of_many_items_is_one_entry():
+    s = decontam.NgramSet([(i, filler(9, 13)) for i in range(500)] + [(7, filler(9, 13) + " x")])
+    keys, _, edge, items, *_ = s.tables[13]
+    assert len(keys) == 2 and edge.tolist() == [0, 500, 501] or edge.tolist() == [0, 1, 501]
+    assert len(items) == 501
+
+
 def test_remove_contaminated(spark):
     item = filler(9, 30)
     texts = ["a " + item, filler(3, 900) + " " + item, "clean text", None, ""]
