@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from docweave.llm import packing, tokenstore
 from docweave.llm.tokens import encode_rows, encoder
-from docweave.runtime import shared_path
+from docweave.runtime import cut, shared_path
 from tests.llm.helpers import awkward, docs
 
 ODD = ["it's 'some' l'été's", "Ünïcode ÀÉ×÷ ½ ﬁ ² x²y", "é áb", "<|endoftext|>a <|startoftext|>", "\tab\x0bc\x1cd\xa0e", "ΑΣ Σας", "#*$%,.!!a1b2__x_y", "", None, "don't we'LL 'RE'd", "a\x00b \x7f", "ß ÿ Ÿ İ ı"]
@@ -135,6 +135,67 @@ def test_plan_places_every_piece_once(lengths, level):
         assert at <= 50
 
 
+def test_a_plan_with_fewer_pieces_of_each_length_than_a_level_stands_for():
+    hist = np.full(51, 9, np.int64)
+    plan = packing.Plan(hist, 50, level_items=8)
+    seq, off = plan.place(np.repeat(np.arange(1, 51), 9), np.tile(np.arange(9), 50))
+    assert (seq >= 0).all() and (off >= 0).all() and len(set(zip(seq.tolist(), off.tolist()))) == 450
+
+
+def brute_pack(lengths, capacity, open_first):
+    """The rule as it is said: the sum of squares is computed for every choice."""
+    bins = []
+
+    def squares(gaps):
+        return sum(n * n for g, n in Counter(gaps).items() if g)
+
+    for s in lengths:
+        gaps = [capacity - sum(b) for b in bins]
+        choices = []
+        for gap in sorted({g for g in gaps if g >= s}):
+            i = gaps.index(gap)
+            choices.append((squares(gaps[:i] + [gap - s] + gaps[i + 1 :]), 0, gap, i))
+        if not (choices and open_first):
+            choices.append((squares([*gaps, capacity - s]), 1, capacity, len(bins)))
+        _, _, _, i = min(choices)
+        if i == len(bins):
+            bins.append([])
+        bins[i].append(s)
+    return sorted(map(sum, bins))  # bins of one gap are alike to the rule
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40), st.booleans())
+def test_packing_follows_the_rule(lengths, open_first):
+    lengths = sorted(lengths, reverse=True)
+    where, offset, n = packing.pack_lengths(np.array(lengths, np.int64), 20, open_first)
+    bins = {}
+    for b, s in zip(where.tolist(), lengths):
+        bins.setdefault(b, []).append(s)
+    assert sorted(map(sum, bins.values())) == brute_pack(lengths, 20, open_first) and len(bins) == n
+
+
+def test_frequent_lengths_are_ranked_by_salts(spark):
+    texts = [f"a b c w{i}" for i in range(60)] + ["x " * 90] * 5 + ["q"] * 40
+    rows = packing.place_pieces(cut(packing.token_pieces(docs(spark, texts, ids=[None, *range(1, len(texts))]), capacity=32)), 32, 16, rank_rows=7).collect()
+    ids = {i: [*expected(t), 0] for i, t in enumerate(texts)}
+    assert Counter((r["doc_id"] or 0, r["start"], r["length"]) for r in rows) == Counter((i, s, len(x[s : s + 32])) for i, x in ids.items() for s in range(0, len(x), 32))
+    assert check_packing(rows, 32) <= -(-sum(map(len, ids.values())) // 32) + 8
+
+
+def test_op1_query(spark, tmp_path):
+    """The registered query on written tables: contract columns, no lost piece, gapless sequences."""
+    texts = [*awkward(), "long " * 5000, *(f"short {i}" for i in range(30))]
+    docs(spark, texts, extra=("piece", "offset")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = packing.op1_pack(spark, f"file://{tmp_path}").collect()
+    want = {}
+    for i, t in enumerate(texts):
+        ids = [*expected(t), 0]
+        want |= {(i, k // 2048): (k, len(ids[k : k + 2048]), crc(ids[k : k + 2048])) for k in range(0, len(ids), 2048)}
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    assert check_packing(rows, 2048) == -(-sum(w[1] for w in want.values()) // 2048)
+
+
 def test_sum_of_squares_choice():
     # Open bins with gaps 6 and 4; a piece of 4 completes one bin rather than making a second gap of 2.
     where, offset, n = packing.pack_lengths(np.array([6, 4, 4]), 10)
