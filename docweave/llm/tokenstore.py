@@ -22,7 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.textblock import Block, blocks
@@ -34,6 +34,7 @@ SAMPLE = 256
 FOOT = struct.Struct("<QQQqQQ8s")
 END_ID = 2
 SHARD_BYTES = 48 << 20
+READ_DOCS, READ_TASKS = 8192, 20_000  # documents a select, and tasks of one read, at most
 U = np.uint64
 
 
@@ -94,6 +95,21 @@ class EliasFano:
         place = word * 64 + (cur & -cur).bit_length() - 1
         return ((place - i) << self.l) | int(self._lows(np.array([i]))[0])
 
+    def select_range(self, start: int, end: int) -> np.ndarray:
+        """Entries ``start`` to ``end`` - 1: only the words from one sample to the next behind them are looked at."""
+        if end <= start:
+            return np.zeros(0, np.uint64)
+        if not 0 <= start < end <= self.n:
+            raise IndexError((start, end))
+        begin = int(self.samples[start // SAMPLE])
+        behind = (end - 1) // SAMPLE + 1
+        stop = int(self.samples[behind]) + 1 if behind < len(self.samples) else self.bits
+        a, z = begin >> 6, (stop + 63) >> 6
+        ones = np.flatnonzero(np.unpackbits(self.high[a:z].view(np.uint8), bitorder="little")) + (a << 6)
+        skip = int(np.searchsorted(ones, begin)) + start % SAMPLE
+        i = np.arange(start, end)
+        return ((ones[skip : skip + end - start] - i).astype(np.uint64) << U(self.l)) | self._lows(i)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), count=self.bits, bitorder="little")) if self.n else np.zeros(0, np.int64)
         i = np.arange(self.n)
@@ -170,8 +186,12 @@ class ShardReader:
         self.docs = EliasFano.from_bytes(self.file.read_at(a, at))
         self.bounds = EliasFano.from_bytes(self.file.read_at(b, at + a))
 
-    def doc_ids(self) -> np.ndarray:
-        return (self.docs.all() + U(self.first & (2**64 - 1))).astype(np.int64)
+    def doc_ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
+        return (self.docs.select_range(start, self.n if end is None else end) + U(self.first & (2**64 - 1))).astype(np.int64)
+
+    def offsets(self, start: int, end: int) -> np.ndarray:
+        """Where documents ``start`` to ``end`` - 1 begin, and where the last of them ends."""
+        return self.bounds.select_range(start, end + 1).astype(np.int64)
 
     def range(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at((end - start) * self.width, 8 + start * self.width), self.kind)
@@ -222,34 +242,33 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (over the whole store), n_tokens and ids_crc32 of every document, from the files.
 
-    The manifest, one small row per shard, gives each shard's first position by a running sum.
+    A running sum over the manifest, one small row per shard, gives each shard's first position; the
+    list of shards stays a table. Offsets come from the boundaries' select structure, ``READ_DOCS`` at a time.
     """
     ship_package(spark)
-    shards = sorted(spark.read.parquet(f"{path}/manifest").collect(), key=lambda r: r["shard"])
-    rows, base = [], 0
-    for r in shards:
-        rows.append((r["file"], base))
-        base += r["n_ids"]
-    listed = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)))
+    manifest = spark.read.parquet(f"{path}/manifest")
+    base = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids")
+    listed = manifest.select("file", base.alias("base")).repartition(max(1, min(READ_TASKS, manifest.count())))
 
     def run(batches):
         for batch in batches:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = ShardReader(file)
-                doc, bound = s.doc_ids(), s.bounds.all().astype(np.int64)
-                at = 0
-                while at < s.n:
-                    end = max(at + 1, int(np.searchsorted(bound, bound[at] + (1 << 20), side="right")) - 1)
-                    end = min(end, s.n)
-                    raw = s.range(int(bound[at]), int(bound[end])).astype("<u4").tobytes()
-                    b = ((bound[at : end + 1] - bound[at]) * 4).tolist()
-                    crc = [zlib.crc32(raw[x:y]) for x, y in zip(b, b[1:])]
-                    ids = doc[at:end]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(bound[at:end] + base), pa.array(np.diff(bound[at : end + 1])), pa.array(crc, pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
-                    at = end
+                for lo in range(0, s.n, READ_DOCS):
+                    hi = min(s.n, lo + READ_DOCS)
+                    doc, bound = s.doc_ids(lo, hi), s.offsets(lo, hi)
+                    at = 0
+                    while at < hi - lo:  # about a million ids, or one longer document, at a time
+                        end = min(hi - lo, max(at + 1, int(np.searchsorted(bound, bound[at] + (1 << 20), side="right")) - 1))
+                        raw = s.range(int(bound[at]), int(bound[end])).astype("<u4").tobytes()
+                        b = ((bound[at : end + 1] - bound[at]) * 4).tolist()
+                        crc = [zlib.crc32(raw[x:y]) for x, y in zip(b, b[1:])]
+                        ids = doc[at:end]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(bound[at:end] + base), pa.array(np.diff(bound[at : end + 1])), pa.array(crc, pa.int64())],
+                            ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
+                        at = end
 
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -2,14 +2,17 @@
 
 ``plan_revisits`` decides on digests alone which pages are revisits. ``write_warc`` writes gzip
 archives, one record to a gzip member, whose HTTP blocks use chunked transfer framing; a block longer
-than ``segment_bytes`` goes out as a first record and continuation records. ``read_warc`` parses the
-archives, groups segments by their origin identifier, orders them by segment number, verifies numbers
-and total length, decodes the framing, and verifies payload digests. A record in one part is decoded
+than ``segment_bytes`` goes out as a first record and continuation records. ``read_archive`` reads what was
+written, by the manifest, which stays a table; ``read_warc`` reads any archives. Both parse records as a stream,
+group segments by their origin identifier, order them by segment number, verify numbers
+and total length, decode the framing, and verify payload digests. A record in one part is decoded
 where it is read; only segments are shuffled, a group being one record.
 
-Defined results: a null html is empty; null ids or urls read back as null; of pages with one page_id and
-equal payloads, all are what the first is; an empty table writes nothing and reads as empty; extra
-columns are ignored. A damaged group raises ``ValueError``: nothing is dropped silently.
+Defined results: a null html is empty; null ids or urls read back as null, and urls as they were; of pages
+with one page_id and equal payloads, all are what the first is; an empty table writes nothing and reads as
+empty; extra columns are ignored. Of records that others wrote, page_id is null, and so is refers_to; a
+missing or foreign digest isn't verified, payload_digest is computed, or null for a revisit without one,
+like its payload_bytes without a length. A damaged group raises ``ValueError``: nothing is dropped silently.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -30,6 +34,7 @@ from docweave.runtime import cut, shared_path, ship_package
 MIN_REVISIT = 1000
 SEGMENT_BYTES = 16 << 10
 FILE_BYTES = 12 << 20
+READ_TASKS = 20_000  # of one read, at most; a task reads several files
 CHUNK = 4096
 END = b"\r\n"
 
@@ -73,12 +78,30 @@ def _name(page_id, digest: str) -> str:
     return f"<urn:x-page:{'null' if page_id is None else page_id}:{digest}>"
 
 
+_OWN = re.compile(r"<urn:x-page:(null|-?\d+):[0-9a-f]{40}>")
+
+
+def _page(name: str | None) -> int | None:
+    """The page_id in a record id of this library."""
+    m = _OWN.fullmatch(name or "")
+    return int(m[1]) if m and m[1] != "null" else None
+
+
+def _target(url: str | None) -> list[tuple[str, str]]:
+    """The url as it is where a header can hold it, or else escaped, with a header that says so."""
+    if url is None:
+        return []
+    if url and url == url.strip() and url.isprintable():
+        return [("WARC-Target-URI", url)]
+    return [("WARC-Target-URI", quote(url, safe="")), ("X-Target-URI-Encoding", "percent")]
+
+
 def page_records(page_id, url, html: str, refers_to, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
     payload = (html or "").encode()
     sha = hashlib.sha1(payload)
     digest = "sha1:" + base64.b32encode(sha.digest()).decode()
     own = _name(page_id, sha.hexdigest())
-    base = [("WARC-Record-ID", own), ("WARC-Date", "2024-01-01T00:00:00Z"), *([("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~"))] if url is not None else []), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
+    base = [("WARC-Record-ID", own), ("WARC-Date", "2024-01-01T00:00:00Z"), *_target(url), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
         more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _name(refers_to, sha.hexdigest()))]
@@ -141,9 +164,12 @@ def write_warc(pages: DataFrame, path: str, revisits: DataFrame | None = None, s
     return spark.read.parquet(f"{path}/manifest")
 
 
-def parse_members(raw: bytes):
-    """(headers, block) of each record of an archive, gzip members or plain."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+def parse_members(raw):
+    """(headers, block) of each record of an archive, bytes or an open file, gzip members or plain."""
+    source = io.BytesIO(raw) if isinstance(raw, bytes) else raw
+    zipped = source.read(2) == b"\x1f\x8b"
+    source.seek(0)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=source) if zipped else source)
     while True:
         line = stream.readline()
         while line in (END, b"\n"):
@@ -171,19 +197,30 @@ def decode_http(block: bytes) -> bytes:
     return unchunk(body) if fields.get(b"transfer-encoding", b"").strip() == b"chunked" else body
 
 
+def _sha1(declared: str | None) -> str | None:
+    """The hexadecimal form of a SHA-1 digest header, base 32 or hexadecimal; None for anything else."""
+    kind, _, value = (declared or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
 def _facts(head: dict, block: bytes) -> tuple:
-    """page_id, url, payload bytes, digest, type, refers_to of a whole record; digests are verified."""
-    page = head["warc-record-id"][1:-1].split(":")
-    page_id = None if page[2] == "null" else int(page[2])
-    declared = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
-    url = unquote(head["warc-target-uri"]) if "warc-target-uri" in head else None
+    """page_id, url, payload bytes, digest, type, refers_to and payload of a whole record; digests are verified."""
+    name, declared, url = head.get("warc-record-id"), _sha1(head.get("warc-payload-digest")), head.get("warc-target-uri")
+    if head.get("x-target-uri-encoding") == "percent":
+        url = unquote(url)
     if head["warc-type"] == "revisit":
         fields = dict(x.lower().split(b":", 1) for x in block.split(END)[1:] if b":" in x)
-        return page_id, url, int(fields[b"content-length"]), declared, "revisit", int(head["warc-refers-to"][1:-1].split(":")[2]), None
-    payload = decode_http(block)
-    if hashlib.sha1(payload).hexdigest() != declared:
-        raise ValueError(f"{head['warc-record-id']}: the payload doesn't match its digest")
-    return page_id, url, len(payload), declared, "response", None, payload
+        n = fields.get(b"content-length", b"").strip()
+        return _page(name), url, int(n) if n.isdigit() else None, declared, "revisit", _page(head.get("warc-refers-to")), None
+    payload = decode_http(block) if "http" in head.get("content-type", "http") else block
+    found = hashlib.sha1(payload).hexdigest()
+    if declared not in (None, found):
+        raise ValueError(f"{name}: the payload doesn't match its digest")
+    return _page(name), url, len(payload), found, "response", None, payload
 
 
 def reassemble(parts: list[dict]) -> tuple[dict, bytes]:
@@ -207,33 +244,51 @@ _TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int6
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
-def archive_files(path: str, manifest: DataFrame) -> list[str]:
-    """The archives that a finished write left; one small name per FILE_BYTES of archive."""
-    return [f"{path}/warc/{r['file']}" for r in manifest.select("file").collect()]
+def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+    """What ``write_warc`` wrote under ``path``. Files that a dead attempt left aren't in the manifest.
+
+    The list of files is dealt out to tasks; none passes the driver.
+    """
+    manifest = spark.read.parquet(f"{path}/manifest")
+    files = manifest.select("file").repartition(max(1, min(READ_TASKS, manifest.count())))
+
+    def opened(batch):
+        for file in batch.column(0).to_pylist():
+            fs, root = open_fs(f"{path}/warc")
+            with fs.open_input_file(f"{root}/{file}") as f:
+                yield f
+
+    return _records(files, opened, with_payload)
 
 
 def read_warc(spark: SparkSession, paths: str | list[str], with_payload: bool = False) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record (and payload)."""
-    ship_package(spark)
     if not paths:
         return spark.createDataFrame([], _ROW if with_payload else _ROW.rsplit(",", 1)[0])
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("content")
+    return _records(files, lambda batch: (memoryview(raw.as_buffer()).tobytes() for raw in batch.column(0)), with_payload)
+
+
+def _records(files: DataFrame, opened, with_payload: bool) -> DataFrame:
+    """Records of ``files``; ``opened`` yields the archives that a batch of its rows names."""
+    ship_package(files.sparkSession)
     names, types = [*_NAMES, "origin", "number", "head", "block"], [*_TYPES, pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
 
     def parse(batches):
         for batch in batches:
-            for raw in batch.column(0):
-                rows = []
-                for head, block in parse_members(memoryview(raw.as_buffer()).tobytes()):
+            for archive in opened(batch):
+                rows, size = [], 0
+                for head, block in parse_members(archive):
                     if "warc-segment-number" in head:
                         origin = head.get("warc-segment-origin-id", head["warc-record-id"])
                         rows.append((*[None] * 7, origin, int(head["warc-segment-number"]), list(head.items()), block))
                     elif head["warc-type"] in ("response", "revisit"):
                         got = _facts(head, block)
                         rows.append((*got[:6], got[6] if with_payload else None, None, None, None, None))
-                    if len(rows) >= 2000:
+                    size += len(block)
+                    if len(rows) >= 2000 or size > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -255,5 +310,14 @@ def read_warc(spark: SparkSession, paths: str | list[str], with_payload: bool =
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
-    manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_warc(spark, archive_files(path, manifest)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+ORACLE = """
+with p as (select page_id, url, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
+largest as (select html, max(page_id) as top from p where n >= 1000 group by html)
+select page_id, n::bigint as payload_bytes, sha1(p.html) as payload_digest, case when top <> page_id then 'revisit' else 'response' end as record_type,
+       case when top <> page_id then top end as refers_to, url
+from p left join largest on n >= 1000 and p.html = largest.html
+"""

@@ -143,7 +143,7 @@ def test_warc_round_trip(spark):
     rows = [(1, "http://a/é?x=1#y", long_), (2, None, long_), (3, "http://c", "s" * 999), (4, "http://c", "s" * 999), (5, "u", None), (6, "u", ""), (7, "u", "s" * 1000), (9, "u", "s" * 1000), (8, "u", "s" * 1000), (9, "u", "s" * 1000), (None, "n", "s" * 1000)]
     path = shared_path(spark, "t")
     manifest = warc.write_warc(pages(spark, rows), path, segment_bytes=5000, file_bytes=20_000)
-    read = warc.read_warc(spark, warc.archive_files(path, manifest), with_payload=True).collect()
+    read = warc.read_archive(spark, path, with_payload=True).collect()
     got = {}
     for r in read:
         got.setdefault(r["page_id"], []).append(r)
@@ -160,8 +160,34 @@ def test_warc_round_trip(spark):
 
 def test_warc_of_nothing(spark):
     path = shared_path(spark, "t")
-    manifest = warc.write_warc(pages(spark, []), path)
-    assert warc.read_warc(spark, warc.archive_files(path, manifest)).count() == 0
+    warc.write_warc(pages(spark, []), path)
+    assert warc.read_archive(spark, path).count() == 0 and warc.read_warc(spark, []).count() == 0
+
+
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://a/x%20y?q=%2Fz", "http://a/é ü", " http://a", "http://a\r\nX: y", "", "%", "http://a/%C3%A9", None, "日本"]
+    path = shared_path(spark, "t")
+    warc.write_warc(pages(spark, [(i, u, f"page {i}") for i, u in enumerate(urls)]), path)
+    for got in (warc.read_archive(spark, path), warc.read_warc(spark, f"{path}/warc")):
+        assert {r["page_id"]: r["url"] for r in got.collect()} == dict(enumerate(urls))
+
+
+def test_records_of_others(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhello"
+    head = b"HTTP/1.1 200 OK\r\n\r\n"
+
+    def record(kind, block, *more):
+        lines = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:0d2c-1>", b"WARC-Target-URI: http://x/%41", b"Content-Length: %d" % len(block), *more]
+        return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    sha = hashlib.sha1(b"hello").hexdigest()
+    raw = record(b"response", body) + record(b"response", body, b"WARC-Payload-Digest: sha1:" + sha.upper().encode()) + record(b"response", body, b"WARC-Payload-Digest: md5:x") + record(b"revisit", head, b"WARC-Refers-To: <urn:uuid:9>") + record(b"request", b"GET")
+    (tmp_path / "a.warc").write_bytes(raw)
+    got = sorted((r["record_type"], r["url"], str(r["payload_digest"]), str(r["payload_bytes"]), r["page_id"], r["refers_to"]) for r in warc.read_warc(spark, f"file://{tmp_path}/a.warc").collect())
+    assert got == [("response", "http://x/%41", sha, "5", None, None)] * 3 + [("revisit", "http://x/%41", "None", "None", None, None)]
+    (tmp_path / "b.warc").write_bytes(record(b"response", body, b"WARC-Payload-Digest: sha1:" + b"0" * 40))
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        warc.read_warc(spark, f"file://{tmp_path}/b.warc").collect()
 
 
 def parsed(html, segment):

@@ -48,6 +48,9 @@ def test_elias_fano(values):
     assert ef.all().tolist() == v
     for i in {0, len(v) // 2, len(v) - 1} if v else ():
         assert ef.select(i) == v[i]
+        for j in {i, i + 1, i + 300, len(v)}:
+            if j <= len(v):
+                assert ef.select_range(i, j).tolist() == v[i:j]
 
 
 def test_store_round_trip(spark):
@@ -76,6 +79,18 @@ def test_store_of_nothing_nulls_and_repeats(spark):
     assert sorted((str(r["doc_id"]), r["start"]) for r in tokenstore.read_store(spark, path).collect()) == [("1", 2), ("1", 4), ("1", 6), ("None", 0)]
 
 
+def test_op10_query(spark, tmp_path):
+    """The registered query on written tables; documents are read back by ranges of the select structure."""
+    texts = [*awkward(), *(f"n {i}" for i in range(600)), "long " * 9000]
+    ids = [i * 7 for i in range(len(texts))]
+    docs(spark, texts, extra=("start", "n_tokens"), ids=ids).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got, start = {r["doc_id"]: r for r in tokenstore.op10_token_store(spark, f"file://{tmp_path}").collect()}, 0
+    for i, t in zip(ids, texts):
+        want = [*expected(t), 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(want), crc(want))
+        start += len(want)
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
