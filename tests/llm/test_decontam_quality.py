@@ -114,6 +114,37 @@ def test_divergence(spark):
     assert {40, 41} <= {r["doc_id"] for r in quality.score_quality(d, rules).where("kept").collect()}
 
 
+def test_a_small_language_is_no_measure_of_itself(spark):
+    clean = [prose(i, 100) + "." for i in range(120)]
+    junk = [" ".join(f"{w.upper()}!!$$$" for w in filler(99 + i, 80).split()) for i in range(2)]
+    other = [prose(300, 100).translate({ord(c): chr(0x430 + i) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}) + "."]
+    d = docs(spark, clean + junk + other).withColumn("lang", F.when(F.col("doc_id") < 120, "en").when(F.col("doc_id") < 122, "xx").otherwise("yy"))
+    got = {r["doc_id"]: r for r in quality.score_quality(d).collect()}
+    assert all(got[i]["kept"] for i in range(120)) and not got[120]["kept"] and not got[121]["kept"]
+    assert got[120]["class_js"] > 0.3 and got[120]["word_js"] == 0.0
+    assert got[122]["kept"] and got[122]["class_js"] < 0.1  # another script is no fault
+
+
+def test_documents_that_fail_the_base_rule_are_no_reference(spark):
+    d = docs(spark, [prose(i, 100) for i in range(120)] + ["$$$ ### " * 400] * 9)
+    refs = quality.language_references(d)
+    assert refs["en"]["classes"][5] == 0 and len(refs["en"]["words"]) <= quality.QualityRules().common_share
+    assert quality.language_references(docs(spark, ["short"])) == {}
+
+
+def test_common_words_have_any_length(spark):
+    long_word = "internacionalização" * 2
+    d = docs(spark, [" ".join(f"{w} {long_word}" for w in filler(i, 100).split()) for i in range(60)])
+    refs = quality.language_references(d)
+    assert len(refs["en"]["words"]) == 1 and abs(refs["en"]["shares"][0] - 0.5) < 1e-9
+
+
+def test_null_ids_and_repeated_rows(spark):
+    d = docs(spark, [prose(1, 40)] * 3, ids=[4, 4, None])
+    got = quality.score_quality(d.unionByName(d)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["4"] * 4 + ["None"] * 2 and len({r["kept"] for r in got}) == 1
+
+
 def test_null_languages_and_many(spark):
     d = docs(spark, [filler(i, 60) for i in range(6)]).withColumn("lang", F.when(F.col("doc_id") > 2, F.col("doc_id").cast("string")))
     assert quality.score_quality(d, quality.QualityRules(max_languages=2)).count() == 6
