@@ -10,9 +10,16 @@ Jaccard similarity as probability.
 Equal sets are one node. Nodes that share a band are candidates, and the candidates' connected components
 are clusters, each node being in one. So a node's full set is shipped once, to its cluster's task, which
 confirms links by exact intersection counts, 100 * intersection >= percent * union, and returns stars,
-as many rows as members. A cluster beyond ``CELL_MEMBERS`` or ``CELL_SHINGLES`` is cut into blocks, and each pair
-of blocks is a task of its own, so no task holds more than two blocks. Components of the stars are the
-result.
+as many rows as members. A cluster beyond ``CELL_MEMBERS`` or ``CELL_SHINGLES`` is dealt into blocks:
+
+1. Each block is compared inside. What is confirmed is contracted, one node stands for its component, and these
+   are dealt into new blocks, as long as each round merges a good part of them. That is linear work, and
+   a cluster of near copies, however large, ends here as one component.
+2. Nodes all of whose bands hold a single component need no more. The others, which share a band
+   with a node of another component, form new, smaller clusters; only of these all pairs of blocks are compared.
+
+So no task holds more than two blocks, and only texts that look alike and aren't are compared in squares.
+Components of all stars are the result.
 
 With 25 bands of 5, a pair at similarity 0.85 shares no band with probability 5e-7, one at 0.8 with 5e-5.
 
@@ -36,6 +43,7 @@ WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 25, 5
 CELL_MEMBERS, CELL_SHINGLES = 3000, 1_000_000  # of one cluster, compared in one task
+ROUNDS, SHRINK = 20, 0.25  # of contracting large clusters: at most, and what share a round must merge to go on
 RARE = 8  # shingles of so few members are counted pair by pair, others by bit sets
 U = np.uint64
 SPACE, LOWER = lut_is_space(), lut_lower()
@@ -208,6 +216,55 @@ def _links(percent: int):
     return run
 
 
+def _blocks(members: DataFrame, salt: int = 0) -> DataFrame:
+    """node, cluster, n_shingles, and into how many blocks (g) the cluster is dealt, and in which one the node is.
+
+    Blocks of half a cell: a pair of blocks is a cell at most.
+    """
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    fits = (F.col("m") <= CELL_MEMBERS) & (F.col("s") <= CELL_SHINGLES)
+    parts = F.when(fits, 1).otherwise(F.greatest(F.ceil(2 * F.col("m") / CELL_MEMBERS), F.ceil(2 * F.col("s") / CELL_SHINGLES)))
+    own = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("g")).cast("int").alias("own")
+    return members.join(size.select("cluster", parts.cast("int").alias("g")), "cluster").select("node", "cluster", "n_shingles", "g", own)
+
+
+def _compared(docs: DataFrame, dealt: DataFrame, percent: int, square: bool) -> DataFrame:
+    """Stars (u, v) of confirmed links inside each block, and with ``square`` inside each pair of blocks."""
+    sets = full_sets(docs, dealt.select("node", "cluster", "g", "own"))
+    cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)) if square else F.col("own"))
+    cells = cells.select("cluster", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "shingles")
+    at_work = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return cut(at_work.mapInArrow(_links(percent), "u long, v long"), "stars")
+
+
+def _with_component(nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """``nodes`` with the component of each by ``stars``, itself if it has none."""
+    comp = connected_components(stars).dropDuplicates(["node"])
+    return cut(nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "contracted")
+
+
+def _large_clusters(docs: DataFrame, rows: DataFrame, large: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """``stars`` with what is missing between the blocks of ``large`` clusters. ``rows``: node and band key."""
+    nodes = large.select("node", "cluster", "n_shingles")
+    left, before = nodes, nodes.count()
+    for salt in range(1, ROUNDS + 1):
+        merged = _with_component(nodes, stars)
+        left = merged.where("node = component").select("node", "cluster", "n_shingles")
+        n = left.count()
+        if n > before * (1 - SHRINK):
+            break
+        before = n
+        stars = stars.unionByName(_compared(docs, _blocks(left, salt), percent, False))
+    merged = _with_component(nodes, stars)
+    # Bands that hold several components, their nodes, and the clusters that these form.
+    places = cut(rows.join(merged.select("node", "component", "n_shingles"), "node"), "places")
+    mixed = places.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("b", "first")
+    still = cut(places.join(mixed, "b"), "mixed")
+    clusters = connected_components(still.select(F.col("node").alias("u"), F.col("first").alias("v"))).dropDuplicates(["node"])
+    members = clusters.join(still.select("node", "n_shingles").distinct(), "node").withColumnRenamed("component", "cluster")
+    return stars.unionByName(_compared(docs, cut(_blocks(members), "blocks"), percent, True))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     drawn = cut(sketch_documents(docs), "sketch")
@@ -215,18 +272,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = cut(real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "sets1")
     rows = reps.select("node", F.explode("bands").alias("b"))
     first = rows.groupBy("b").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").drop("last")
-    clusters = connected_components(rows.join(first, "b").select(F.col("node").alias("u"), "v"))
-    members = clusters.join(reps.select("node", "n_shingles"), "node")
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
-    # Blocks of half a cell: a pair of blocks is a cell at most.
-    parts = F.when((F.col("m") <= CELL_MEMBERS) & (F.col("s") <= CELL_SHINGLES), 1).otherwise(F.greatest(F.ceil(2 * F.col("m") / CELL_MEMBERS), F.ceil(2 * F.col("s") / CELL_SHINGLES)))
-    members = members.join(size.select("component", parts.cast("int").alias("g")), "component").dropDuplicates(["node"])
-    own = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
-    sets = full_sets(docs, members.select("node", F.col("component").alias("cluster"), "g", own.alias("own")))
-    cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = cells.select("cluster", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "shingles")
-    dealt = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    comp = cut(connected_components(dealt.mapInArrow(_links(percent), "u long, v long")), "comp")
+    clusters = connected_components(rows.join(first, "b").select(F.col("node").alias("u"), "v")).dropDuplicates(["node"])
+    members = clusters.withColumnRenamed("component", "cluster").join(reps.select("node", "n_shingles"), "node")
+    dealt = cut(_blocks(members), "blocks")
+    stars = _compared(docs, dealt, percent, False)
+    large = dealt.where("g > 1")
+    if not large.isEmpty():
+        stars = _large_clusters(docs, rows, large, stars, percent)
+    comp = cut(connected_components(stars), "comp")
     # A node is the smallest of its copies, so a component's smallest node is its smallest doc_id.
     named = reps.join(comp, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component"))
     plain = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
@@ -242,3 +295,25 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\t-\r ]+') as w from documents
+), sh as (
+  select distinct doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') as s
+  from (select doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from w where len(w) > 0)
+), n as (select doc_id, count(*) as n from sh group by 1
+), sets as (select doc_id, hash(list(s order by s)) as key, count(*) as n from sh group by 1
+), reps as (select min(doc_id) as node, key, n from sets group by key, n
+), own as (select node, sh.s from reps join sh on node = doc_id
+), links as (
+  select x.node as a, y.node as b from own x join own y on x.s = y.s and x.node < y.node join n p on p.doc_id = x.node join n q on q.doc_id = y.node
+  group by x.node, y.node, p.n, q.n having 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), edges as (select a, b from links union select b, a from links
+), r(node, root) as (select node, node from reps union select edges.b, r.root from r join edges on edges.a = r.node and r.root < edges.b
+), reach as (select node, min(root) as root from r group by 1
+)
+select w.doc_id, coalesce(sets.n, 0)::bigint as n_shingles, coalesce(root, w.doc_id) as component_id, coalesce(root, w.doc_id) = w.doc_id as kept
+from w left join sets using (doc_id) left join reps on reps.key = sets.key and reps.n = sets.n left join reach using (node)
+"""

@@ -80,6 +80,36 @@ def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
     check_near(spark, variants(15, 25, 3)[::-1] + variants(16, 12, 4)[::-1])
 
 
+def test_a_cluster_of_many_thousand_near_copies(spark, monkeypatch):
+    """20,000 near copies are one component without a square of comparisons: each block is compared inside only."""
+    monkeypatch.setattr(neardup, "CELL_MEMBERS", 400)
+    seen = []
+    real = neardup._compared
+    monkeypatch.setattr(neardup, "_compared", lambda docs, dealt, percent, square: seen.append((dealt.count(), square)) or real(docs, dealt, percent, square))
+    base = filler(17, 100).split()
+    texts = [" ".join([*base, f"end{i}"]) for i in range(20_000)] + [filler(18, 50)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got.pop(20_000) == 20_000 and set(got.values()) == {0}
+    assert sum(n for n, square in seen if square) == 0 and sum(n for n, _ in seen) < 25_000
+
+
+def test_recall_of_banding_at_the_threshold(spark):
+    """Pairs of similarity 0.85 to 0.9, sets of 60 to 600 shingles: none may escape."""
+    texts, n = [], 0
+    for i in range(300):
+        size = (60, 200, 600)[i % 3]
+        base = filler(5000 + i, size + 4).split()
+        out = max(1, int(size * (0.05 + 0.03 * (i % 2))))  # words replaced at the end lose as many shingles
+        texts += [" ".join(base), " ".join(base[:-out] + [f"x{i}y{k}" for k in range(out)])]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    for i in range(0, len(texts), 2):
+        a, b = ({tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts[i : i + 2])
+        if 100 * len(a & b) >= 85 * len(a | b):
+            n += 1
+            assert got[i + 1] == i
+    assert n >= 200
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=40), min_size=1, max_size=25))
 def test_intersections(sets):
