@@ -4,12 +4,18 @@ The pattern spans are ``assign`` (a credential name, a mark, a value of 12 or mo
 ``access`` (cloud access keys) and ``hex`` (16 or more hexadecimal digits). To these, values in
 credential contexts, also short ones and names that the patterns lack, are added as ``guess`` spans
 if even the cheapest segmentation into dictionary words, dates, repeats, sequences, keyboard walks
-and brute-force spans takes at least 10 ** ``min_log10`` guesses.
+and brute-force spans takes at least 10 ** ``min_log10`` guesses. A value of words alone between
+separators (``your_api_key_here``) names something and is no secret, however long.
+
+The dictionary has three parts, each ranked, commonest first; a word's guesses are its best rank: the
+passwords that people choose (``WORDS``), the whole words and endings of a public tokenizer's vocabulary,
+some 33,000, and the ``CORPUS_WORDS`` commonest words of all the documents scanned, so that a corpus in
+any language has its own ordinary words. What is broadcast is bounded by these two sizes.
 
 Spans are in code points, end exclusive. Defined results: a null text is empty and has no spans; one
-value may be an assign and a guess span; repeated rows are all scanned; an empty table gives no rows;
-extra columns are ignored. Values of any length are segmented whole: each match is bounded, so the
-time is linear in the value.
+value may be an assign and a guess span; repeated rows and rows with a null doc_id are all scanned; an empty
+table gives no rows; extra columns are ignored. Values of any length are segmented whole: each match is
+bounded, so the time is linear in the value.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.textblock import Block, blocks
+from docweave.llm.tokens import default_path
 from docweave.runtime import ship_package
 
 # Fixed values of the contract.
@@ -37,13 +44,15 @@ HINTS = ("passw", "passp", "passc", "pwd", "secret", "token", "api", "access", "
 HEX_BYTES = np.zeros(256, bool)
 HEX_BYTES[list(b"0123456789abcdef")] = True
 
-#: Words that people choose, commonest first; a word's guesses are its rank.
+#: Passwords that people choose, commonest first.
 WORDS = (
     "password 123456 qwerty admin welcome letmein monkey dragon master login secret shadow sunshine princess football "
     "baseball superman batman trustno hello freedom whatever test guest root user pass love iloveyou summer winter spring "
     "autumn changeme default server oracle database token access key api prod dev stage local example demo company"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+CORPUS_WORDS = 20_000
+SEPARATORS = "_-./:"
 LEET = str.maketrans("4@301!5$7", "aaeoiisst")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEAR: dict[str, set[str]] = {}
@@ -56,12 +65,45 @@ LONGEST = 24  # of a dictionary word or a date
 SEGMENT = math.log10(4)  # what each further segment adds, for the attacker's choice of structure
 
 
+def vocabulary_words(path: str | None = None) -> list[str]:
+    """The letters-only tokens of three or more characters that end a word, in order of their ids: commonest first."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(path or default_path()).get_vocab(False)
+    words = (t.removesuffix("</w>") for t, _ in sorted(ids.items(), key=lambda x: x[1]) if t.endswith("</w>"))
+    return [w for w in words if len(w) >= 3 and w.isalpha() and w.isascii()]
+
+
+def corpus_words(docs: DataFrame, limit: int = CORPUS_WORDS) -> list[str]:
+    """The commonest words of letters alone in all documents; of equally common ones the first by alphabet."""
+    word = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")
+    counts = docs.select(word).where(F.col("w").rlike(rf"^\p{{L}}{{3,{LONGEST}}}$")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(limit).collect()]
+
+
+def dictionary(*ranked: list[str]) -> dict[str, int]:
+    """Best rank of each word over lists, commonest first; of ``WORDS`` too."""
+    out = dict(RANK)
+    for words in ranked:
+        for i, w in enumerate(words, 1):
+            if i < out.get(w, i + 1):
+                out[w] = i
+    return out
+
+
 def _brute(c: str) -> float:
     if c.isascii():
         return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
     return 2.0
 
 
+def is_name(value: str, parts: list[tuple[str, int, int]]) -> bool:
+    """Whether a segmentation has words and single separators between them only, two words at least."""
+    kinds = [k for k, _, _ in parts]
+    marks = all(k == "word" or (k == "brute" and e - s == 1 and value[s] in SEPARATORS) for k, s, e in parts)
+    return marks and kinds.count("word") >= 2 and "brute" in kinds and kinds[0] == kinds[-1] == "word"
+
+
 def guess_cost(value: str, words: dict[str, int] = RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses of the cheapest segmentation, and its segments (kind, start, end).
 
@@ -73,9 +115,8 @@ def guess_cost(value: str, words: dict[str, int] = RANK) -> tuple[float, list[tu
         low = value
     plain = low.translate(LEET)
     ends: list[list[tuple[float, int, str]]] = [[] for _ in range(n + 1)]
-    longest = min(LONGEST, max(map(len, words), default=0))
     for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = words.get(low[i:j])
             if rank is not None:
                 ends[j].append((math.log10(rank + 1) + (value[i:j] != low[i:j]) * 0.6, i, "word"))
@@ -137,7 +178,10 @@ def guess_spans(text: str, min_log10: float, words: dict[str, int] = RANK) -> li
     out = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".)]}!?")
-        if len(value) >= 6 and guess_cost(value, words)[0] >= min_log10:
+        if len(value) < 6:
+            continue
+        cost, parts = guess_cost(value, words)
+        if cost >= min_log10 and not is_name(value, parts):
             out.append(("guess", m.start(1), m.start(1) + len(value)))
     return out
 
@@ -154,12 +198,18 @@ def _rows_with_hex(b: Block) -> np.ndarray:
     return flags
 
 
-def scan_secrets(docs: DataFrame, min_log10: float = 10.0, words: dict[str, int] = RANK) -> DataFrame:
-    """doc_id and spans, an array of (kind, start, end) by start, then kind; one row per input row."""
+def scan_secrets(docs: DataFrame, min_log10: float = 10.0, words: dict[str, int] | None = None, vocabulary: str | None = None) -> DataFrame:
+    """doc_id and spans, an array of (kind, start, end) by start, then kind; one row per input row.
+
+    ``words``: a dictionary to use instead of the vocabulary's and the corpus's.
+    """
     ship_package(docs.sparkSession)
+    words = dictionary(vocabulary_words(vocabulary), corpus_words(docs)) if words is None else words
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
+        words = shared.value
         for batch in batches:
             for part in blocks(batch, "text"):
                 flags = _rows_with_hex(Block(part.column(1)))
