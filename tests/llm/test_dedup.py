@@ -170,13 +170,16 @@ def test_substring_dedup(spark):
     texts = awkward() + [f"{filler(50 + i, 20)} {shared}\n{filler(80 + i, 20)}" for i in range(12)] + ["a " * 40, "a b " * 30, "b a " * 30, shared.replace(" ", "\t\n "), " ".join(shared.split()[:13]), " ".join(shared.split()[:12])]
     rows = list(enumerate(texts))
     want = substring_truth(rows)
-    for how in ({}, {"hot": 2, "bloom_bytes": 64}):
+    for how in ({}, {"hot": 2, "bloom_bytes": 64}, {"hot": 0}):
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup_substrings(docs(spark, texts, extra=("key", "mask", "_places")), **how).collect()}
         assert got == want
 
 
 def test_substring_chunks_keep_keys_together(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK_SEGMENTS", 5)
+    monkeypatch.setattr(substrings, "STREAM_SEGMENTS", 2)
+    monkeypatch.setattr(substrings, "TASK_SEGMENTS", 3)
+    monkeypatch.setattr(substrings, "BLOOM_PIECE", 256)
     texts = [f"{filler(50 + i, 15)} {filler(21, 40)} {filler(i % 3, 30)}" for i in range(15)]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup_substrings(docs(spark, texts)).collect()}
     assert got == substring_truth(list(enumerate(texts)))
@@ -191,14 +194,34 @@ def test_substring_edge_tables(spark):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=12), min_size=1, max_size=8), st.integers(1, 4))
-def test_fm_index_counts_patterns(segments, k):
+def test_matching_statistics(segments, k):
+    """Against all substrings: the longest run before each place that stands elsewhere too, and least documents."""
     text = np.array([x for s in segments for x in [*s, 0]], np.int64)
-    index = substrings.FMIndex(text, k)
-    ends = [e for e in range(k, len(text) + 1) if 0 not in text[e - k : e]]
-    lo, hi = index.search(text, np.array(ends, np.int64), k)
-    plain = [tuple(text[e - k : e]) for e in ends]
-    for p, n in zip(plain, hi - lo):
-        assert n == plain.count(p) or (n <= 1 and plain.count(p) == 1)
+    doc = np.repeat(np.arange(len(segments))[::-1] * 10, [len(s) + 1 for s in segments])
+    index = substrings.FMIndex(text, 12, doc)
+    begins = np.cumsum([0, *(len(s) + 1 for s in segments)])[:-1]
+    ends = [(b + i, b) for s, b in zip(segments, begins) for i in range(1, len(s) + 1)]
+    length, lo, hi = index.matching(text, np.array([e for e, _ in ends]), np.array([b for _, b in ends]), k)
+    runs = {}
+    for s, b in zip(segments, begins):
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                runs.setdefault(tuple(s[i:j]), []).append(doc[b])
+    for (e, b), n, a, z in zip(ends, length, lo, hi):
+        assert n == max((m for m in range(1, e - b + 1) if len(runs[tuple(text[e - m : e])]) > 1), default=0)
+        if n >= k:
+            assert z - a == len(runs[tuple(text[e - k : e])]) and index.least(np.array([a]), np.array([z]))[0] == min(runs[tuple(text[e - k : e])])
+
+
+def test_a_passage_of_many_documents_is_a_row_a_task(spark):
+    shared = filler(21, 40)
+    texts = [f"{filler(50 + i, 3)} {shared}" for i in range(3000)]
+    d = docs(spark, texts).repartition(2).cache()
+    anchors = substrings.shared_anchors(d)
+    bloom = spark.sparkContext.broadcast(substrings.anchor_filter(anchors, anchors.count()))
+    assert substrings.live_segments(d, bloom).count() <= 2 * 20
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.dedup_substrings(d).collect()}
+    assert got == {i: 40 if i else 0 for i in range(3000)}
 
 
 # ---- lines
