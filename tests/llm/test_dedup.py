@@ -219,7 +219,7 @@ def test_a_passage_of_many_documents_is_a_row_a_task(spark):
     d = docs(spark, texts).repartition(2).cache()
     anchors = substrings.shared_anchors(d)
     bloom = spark.sparkContext.broadcast(substrings.anchor_filter(anchors, anchors.count()))
-    assert substrings.live_segments(d, bloom).count() <= 2 * 20
+    assert substrings.live_segments(d, bloom).where("lo < hi").count() <= 2 * 20  # of the passage; the others differ in a word before it
     got = {r["doc_id"]: r["n_removed"] for r in substrings.dedup_substrings(d).collect()}
     assert got == {i: 40 if i else 0 for i in range(3000)}
 
