@@ -215,7 +215,7 @@ def test_matching_statistics(segments, k):
 
 def test_a_passage_of_many_documents_is_a_row_a_task(spark):
     shared = filler(21, 40)
-    texts = [f"{filler(50 + i, 3)} {shared}" for i in range(3000)]
+    texts = [f"a{i} b{i} c{i} {shared}" for i in range(3000)]
     d = docs(spark, texts).repartition(2).cache()
     anchors = substrings.shared_anchors(d)
     bloom = spark.sparkContext.broadcast(substrings.anchor_filter(anchors, anchors.count()))
