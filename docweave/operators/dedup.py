@@ -1,19 +1,32 @@
 """Duplicate removal over term sets: exact sets, fact keys, and near-duplicate prose.
 
-Near duplicates are decided in order: a chunk goes if it repeats an earlier chunk that stays. Candidate
-pairs come from a prefix filter: if a later set of n terms shares at least t of its terms with an
-earlier one, then of its n - ceil(t * n) + 1 rarest terms at least one is in the earlier set. Pairs are
-verified in full, and the decision is the least fixpoint over them.
+Near duplicates are decided in order: a chunk goes if it repeats an earlier chunk that stays. Terms are
+numbered, rarest first, and candidate pairs come from prefix filters over these numbers:
+
+* Two sets alike at t share one of their n - ceil(t * n) + 1 rarest terms, on both sides, and t * n of one is no
+  more than the other's size.
+* If y has a share t of x's terms, it has one of x's n - ceil(t * n) + 1 rarest, and t * n terms or more.
+
+Where the first common term stands bounds how many more can follow, which drops most of what is left
+inside the join. Pairs are verified in full, and the decision is the least fixpoint over them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import containment, jaccard, near_duplicate, unique_terms
+from docweave.functions.text import unique_terms
+from docweave.operators.order import global_row_number
 from docweave.runtime import cut
 
+CONTAINED = 0.92
+COMPONENT_PAIRS = 2_000_000  # of one component that one task decides
+
 
 def term_sets(chunks: DataFrame) -> DataFrame:
     """pos, terms (distinct, sorted)."""
@@ -30,6 +43,12 @@ def exact_set_dedup(chunks: DataFrame) -> DataFrame:
     return chunks.join(first.select("pos"), "pos", "left_semi")
 
 
+def distinct_term_sets(chunks: DataFrame) -> DataFrame:
+    """pos and terms of the first chunk of each term set that isn't empty; each text is read once."""
+    sets = term_sets(chunks).where(F.size("terms") > 0)
+    return sets.groupBy(F.sha2(F.array_join("terms", " "), 256).alias("_key")).agg(F.min("pos").alias("pos"), F.first("terms").alias("terms")).drop("_key")
+
+
 def set_classes(chunks: DataFrame) -> DataFrame:
     """pos, first: the earliest chunk with the same term set; null where the set is empty."""
     terms = F.array_sort(unique_terms("text"))
@@ -46,48 +65,131 @@ def fact_key_dedup(facts: DataFrame, keys: list[str], order: str = "pos") -> Dat
     return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*facts.columns)
 
 
-def candidate_pairs(later: DataFrame, earlier: DataFrame, share: float) -> DataFrame:
-    """Pairs (x, y) that may share ``share`` of x's terms. Both sides have pos and terms."""
-    df = earlier.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    rows = later.select("pos", F.size("terms").alias("n"), F.explode("terms").alias("t")).join(df, "t", "left")
-    order = Window.partitionBy("pos").orderBy(F.coalesce("df", F.lit(0)), "t")
-    prefix = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
-    index = earlier.select(F.col("pos").alias("y"), F.explode("terms").alias("t"))
-    return prefix.where("df is not null").select(F.col("pos").alias("x"), "t").join(index, "t").select("x", "y").distinct()
+def numbered_sets(*sides: DataFrame) -> list[DataFrame]:
+    """pos, n and terms as numbers in ascending order, rarest first over all sides, written; empty sets are left out."""
+    rows = [s.where(F.size("terms") > 0).select("pos", F.explode("terms").alias("t")) for s in sides]
+    every = reduce(DataFrame.unionByName, [r.select("t") for r in rows])
+    ids = cut(global_row_number(every.groupBy("t").agg(F.count(F.lit(1)).alias("df")), ["df", "t"], "id").select("t", F.col("id").cast("int").alias("id")), "ids")
+    return [cut(r.join(ids, "t").groupBy("pos").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("pos", F.size("ids").alias("n"), "ids"), "sets") for r in rows]
+
+
+def _prefix_length(t: float):
+    return F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1
+
+
+def _listed(sets: DataFrame, length, names: tuple) -> DataFrame:
+    """A row for each of the first ``length`` terms of a set, or all: its set, size, number and place."""
+    some = F.col("ids") if length is None else F.slice("ids", F.lit(1), length)
+    pos, n, at = names
+    return sets.select(F.col("pos").alias(pos), F.col("n").alias(n), F.posexplode(some).alias(at, "id"))
+
+
+def _candidates(later: DataFrame, earlier: DataFrame, jaccard_at: float | None, contained_at: float | None, in_order: bool) -> DataFrame:
+    """Pairs (x, y) of numbered sets that may be alike, or x be contained."""
+    before = F.col("y") < F.col("x") if in_order else F.lit(True)
+    rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))  # common terms from this one on, at most
+    found = []
+    if jaccard_at is not None:
+        t = jaccard_at
+        a, b = _listed(later, _prefix_length(t), ("x", "n", "i")), _listed(earlier, _prefix_length(t), ("y", "m", "j"))
+        sizes = (F.col("m") >= t * F.col("n") - 1e-9) & (F.col("n") >= t * F.col("m") - 1e-9)
+        found.append(a.join(b, "id").where(before & sizes & (rest * (1 + t) >= t * (F.col("n") + F.col("m")) - 1e-9)).select("x", "y"))
+    if contained_at is not None:
+        t = contained_at
+        a, b = _listed(later, _prefix_length(t), ("x", "n", "i")), _listed(earlier, None, ("y", "m", "j"))
+        found.append(a.join(b, "id").where(before & (rest >= t * F.col("n") - 1e-9)).select("x", "y"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _with_sets(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    a = left.select(F.col("pos").alias("x"), F.col("terms").alias("a"))
-    b = right.select(F.col("pos").alias("y"), F.col("terms").alias("b"))
-    return pairs.join(a, "x").join(b, "y")
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """x, y, n, m and how many terms both have."""
+    a = left.select(F.col("pos").alias("x"), "n", F.col("ids").alias("a"))
+    b = right.select(F.col("pos").alias("y"), F.col("n").alias("m"), F.col("ids").alias("b"))
+    return pairs.join(a, "x").join(b, "y").select("x", "y", "n", "m", F.size(F.array_intersect("a", "b")).alias("both"))
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """x, y, score of pairs of sets alike at ``threshold`` or more."""
-    score = jaccard(F.col("a"), F.col("b"))
-    return _with_sets(candidate_pairs(left, right, threshold), left, right).select("x", "y", score.alias("score")).where(F.col("score") >= threshold)
+    a, b = numbered_sets(left, right)
+    score = (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("score")
+    return _verified(_candidates(a, b, threshold, None, False), a, b).select("x", "y", score).where(F.col("score") >= threshold)
 
 
 def containment_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """x, y, score of pairs where y has ``threshold`` or more of x's terms."""
-    score = containment(F.col("a"), F.col("b"))
-    return _with_sets(candidate_pairs(left, right, threshold), left, right).select("x", "y", score.alias("score")).where(F.col("score") >= threshold)
+    a, b = numbered_sets(left, right)
+    return _verified(_candidates(a, b, None, threshold, False), a, b).select("x", "y", (F.col("both") / F.col("n")).alias("score")).where(F.col("score") >= threshold)
 
 
 def near_duplicate_pairs(sets: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """x, y: x repeats the earlier y."""
-    sets = sets.where(F.size("terms") > 0)
-    pairs = candidate_pairs(sets, sets, min(threshold, 0.92)).where("y < x")
-    return _with_sets(pairs, sets, sets).where(near_duplicate(F.col("a"), F.col("b"), threshold)).select("x", "y")
+    """x, y: x repeats the earlier y: alike, or, with four terms or more, contained at 0.92."""
+    (s,) = numbered_sets(sets)
+    found = _verified(_candidates(s, s, threshold, CONTAINED, True), s, s)
+    alike = F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= threshold
+    return found.where(alike | ((F.col("n") >= 4) & (F.col("both") / F.col("n") >= CONTAINED))).select("x", "y")
 
 
 def greedy_drop(pairs: DataFrame) -> DataFrame:
     """pos of what goes if x goes exactly when some y that it repeats stays.
 
-    In each round, whoever has no undecided or staying y left stays, and whoever repeats a staying one
-    goes. Chains end because y < x; every round decides at least the smallest undecided one.
+    Pairs of different connected components don't touch each other. A component of up to
+    ``COMPONENT_PAIRS`` pairs is decided in one pass in order, all of these in one stage, whatever the length of
+    their chains. Larger ones go in rounds: whoever has no undecided or staying y left stays, and whoever
+    repeats a staying one goes; every round decides at least the smallest undecided one.
     """
-    open_ = cut(pairs.distinct(), "greedy")
+    pairs = cut(pairs.distinct(), "greedy")
+    kind = pairs.schema["x"].dataType.simpleString()
+    named = cut(_components(pairs), "greedy")
+    sized = named.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    of = named.join(sized, "c")
+
+    def decide(batches):
+        held, at = [], None
+
+        def solve():
+            x, y = (np.concatenate(v) for v in zip(*held))
+            gone = set()
+            for i in np.lexsort((y, x)).tolist():
+                if y[i].item() not in gone:
+                    gone.add(x[i].item())
+            return pa.RecordBatch.from_arrays([pa.array(sorted(gone), batch.schema.field("x").type)], ["pos"])
+
+        for batch in batches:
+            c, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edge = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+            for a, z in zip(edge, edge[1:]):
+                if a == z:
+                    continue
+                if held and c[a] != at:
+                    yield solve()
+                    held = []
+                at = c[a]
+                held.append((x[a:z], y[a:z]))
+        if held:
+            yield solve()
+
+    small = of.where(F.col("n") <= COMPONENT_PAIRS).select("c", "x", "y").repartition("c").sortWithinPartitions("c")
+    gone = small.mapInArrow(decide, f"pos {kind}")
+    large = of.where(F.col("n") > COMPONENT_PAIRS).select("x", "y")
+    return gone if large.isEmpty() else gone.unionByName(_rounds(cut(large, "greedy")))
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    """x, y and the least member of their component: the least label spreads along pairs, and labels point on to theirs."""
+    both = pairs.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))), "greedy")
+    label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")), "greedy")
+    while True:
+        near = both.join(label.select(F.col("u").alias("v"), F.col("c").alias("k")), "v").groupBy("u").agg(F.min("k").alias("k"))
+        least = label.join(near, "u").select("u", "c", F.least("c", "k").alias("k"))
+        jump = least.join(label.select(F.col("u").alias("k"), F.col("c").alias("to")), "k", "left")
+        new = cut(jump.select("u", F.col("c").alias("old"), F.least("k", F.coalesce("to", "k")).alias("c")), "greedy")
+        label = new.select("u", "c")
+        if new.where("old <> c").isEmpty():
+            return pairs.join(label.withColumnRenamed("u", "x"), "x")
+
+
+def _rounds(open_: DataFrame) -> DataFrame:
     gone = open_.select(F.col("x").alias("pos")).limit(0)
     while not open_.isEmpty():
         undecided = open_.select(F.col("x").alias("y")).distinct()

@@ -264,7 +264,7 @@ def containment_pairs(spark, sf):
 
 def _distinct_sets(spark, sf):
     """Of documents with one term set the first: pairs are made between different sets only."""
-    return cut(D.term_sets(D.exact_set_dedup(docs(spark, sf))), "sets")
+    return cut(D.distinct_term_sets(docs(spark, sf)), "sets")
 
 
 _NEAR = (
@@ -293,7 +293,13 @@ def near_duplicate_members(spark, sf):
     return members.select(F.col("pos").alias("doc_id"), F.col("first").alias("representative"), F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
-@query()
+@query(
+    f"with recursive near as materialized ({_NEAR}), s as (select doc_id, {set_sql('text')} as t from documents), c as materialized (select min(doc_id) as doc_id from s where len(t) > 0 group by t), "
+    # Documents in order; a list of those that went so far.
+    "o as materialized (select c.doc_id, list(repeats) filter (repeats is not null) as ys, row_number() over (order by c.doc_id) as i from c left join near on c.doc_id = near.doc_id group by c.doc_id), "
+    "r(i, gone) as (select 0::bigint, []::bigint[] union all select o.i, case when len(list_filter(coalesce(o.ys, []), lambda y: not list_contains(r.gone, y))) > 0 then list_append(r.gone, o.doc_id) else r.gone end from r join o on o.i = r.i + 1), "
+    "last as (select gone from r order by i desc limit 1) select doc_id from c, last where not list_contains(gone, doc_id)"
+)
 def near_duplicate_greedy(spark, sf):
     sets = _distinct_sets(spark, sf)
     return sets.join(D.greedy_drop(D.near_duplicate_pairs(sets)), "pos", "left_anti").select(F.col("pos").alias("doc_id"))

@@ -87,6 +87,31 @@ def test_greedy_drop_chains(spark):
     assert D.greedy_drop(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+def test_greedy_drop_of_long_chains_and_large_components(spark, monkeypatch):
+    chain = [(i + 1, i) for i in range(300)] + [(1000 + i, 1000 + j) for i in range(12) for j in range(i) if (i * j) % 3 != 1]
+    gone = set()
+    for x, y in sorted(chain):
+        if y not in gone:
+            gone.add(x)
+    rows = spark.createDataFrame(chain, "x long, y long")
+    assert {r["pos"] for r in D.greedy_drop(rows).collect()} == gone
+    monkeypatch.setattr(D, "COMPONENT_PAIRS", 20)  # the clique is too large for a task: rounds
+    small = rows.where("x >= 1000 or x < 15")
+    assert {r["pos"] for r in D.greedy_drop(small).collect()} == {p for p in gone if p >= 1000 or p < 15}
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), max_size=26), min_size=2, max_size=30), st.floats(0.3, 1.0))
+def test_pairs_against_all_pairs(spark, sets, t):
+    df = spark.createDataFrame([(i, [f"t{x:02}" for x in sorted(s)]) for i, s in enumerate(sets)], "pos long, terms array<string>")
+    jac = {(x, y) for x, a in enumerate(sets) for y, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= t}
+    con = {(x, y) for x, a in enumerate(sets) for y, b in enumerate(sets) if a and b and len(a & b) / len(a) >= t}
+    assert {(r["x"], r["y"]) for r in D.jaccard_pairs(df, df, t).collect()} == jac
+    assert {(r["x"], r["y"]) for r in D.containment_pairs(df, df, t).collect()} == con
+    near = {(x, y) for x, a in enumerate(sets) for y, b in enumerate(sets) if y < x and a and b and (len(a & b) / len(a | b) >= 0.82 or (len(a) >= 4 and len(a & b) / len(a) >= 0.92))}
+    assert {(r["x"], r["y"]) for r in D.near_duplicate_pairs(df).collect()} == near
+
+
 def test_index_values(spark):
     chunks = spark.createDataFrame([(0, "gato preto"), (1, "gato branco branco"), (2, "cachorro gato"), (3, "")], "pos long, text string")
     counts = I.term_counts(chunks)
