@@ -18,7 +18,8 @@ A conversation is the unit of work: its turns meet in one task.
 
 Defined results: a null text or role is empty; rows of one turn number are ordered by role, then text;
 null turn numbers come first; null conv_ids form one conversation; an empty table gives no nodes;
-extra columns are ignored; repeated rows are repeated turns.
+extra columns are ignored; repeated rows are repeated turns. The query adds conversation -7: turns that the data
+has under that number would be in the same conversation.
 """
 
 from __future__ import annotations
@@ -193,3 +194,18 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
     return read_back(*prefix_tree(turns))
+
+
+ORACLE = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), f as (
+  select *, '<s>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g') || chr(10)
+            || regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g') || '</s>' as formatted from t
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(length(formatted))::bigint as formatted_chars
+from f group by conv_id
+"""
