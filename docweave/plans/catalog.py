@@ -105,6 +105,36 @@ _INDEX = f"{_TF}, {_LEN}, {_DF}, {_VOCAB}, {_Q}, {_IMPACT}"
 TRIMMED = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+def sentences_sql(name: str, rows: str) -> str:
+    """Recursive CTEs that end in ``name`` (id, pos, sentence), of ``rows`` (id, text): mark by mark, block by block."""
+    n = name
+    return (
+        rf"{n}_t as (select id, coalesce(text, '') as text from ({rows})), "
+        rf"{n}_b as (select id, text, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda b: {TRIMMED.format(x='b')}), lambda b: b <> '' and not starts_with(b, '#'))) as b, "
+        rf"generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda b: {TRIMMED.format(x='b')}), lambda b: b <> '' and not starts_with(b, '#')), 1) as nth from {n}_t), "
+        rf"{n}_k as materialized (select *, len(list_filter(string_split(b, chr(10)), lambda l: starts_with(ltrim(l), '|'))) > 0 as tab, list_filter(range(1, length(b) + 1), lambda i: b[i] in ('.', '!', '?')) as marks from {n}_b), "
+        rf"{n}_m as materialized (select id, nth, unnest(marks) as mk, generate_subscripts(marks, 1) as i, b from {n}_k where not tab), "
+        rf"{n}_r(id, nth, i, start, ended, piece) as (select id, nth, 0::bigint, 1::bigint, false, '' from {n}_k where not tab union all "
+        rf"select id, nth, i, case when stops then mk + 1 else start end, stops, case when stops then substring(b, start, mk - start + 1) else '' end from ("
+        rf"select r.id, r.nth, m.i, r.start, m.mk, m.b, not (m.b[m.mk] = '.' and (regexp_matches(m.b[m.mk - 1], '^[0-9]$') or regexp_matches(m.b[m.mk + 1], '^[0-9]$') "
+        rf"or regexp_matches(regexp_replace(substring(m.b, r.start, m.mk - r.start + 1), '[.!?]+$', ''), '(^|\s)\pL{{1,4}}\s*$'))) as stops from {n}_r r join {n}_m m on r.id = m.id and r.nth = m.nth and m.i = r.i + 1)), "
+        rf"{n}_e as (select id, nth, i, {TRIMMED.format(x='piece')} as piece from {n}_r where ended union all "
+        rf"select k.id, k.nth, 1000000, {TRIMMED.format(x='substring(k.b, l.start, length(k.b))')} from {n}_k k join (select id, nth, max(start) as start from {n}_r group by all) l using (id, nth) union all "
+        rf"select * from (select id, nth, generate_subscripts(string_split(b, chr(10)), 1), {TRIMMED.format(x='unnest(string_split(b, chr(10)))')} as piece from {n}_k where tab) q where not starts_with(piece, '|')), "
+        rf"{n}_f as (select * from {n}_e where length(piece) >= 25), "
+        rf"{n} as (select id, row_number() over (partition by id order by nth, i) - 1 as pos, piece as sentence from {n}_f union all select id, 0, {TRIMMED.format(x='text')} from {n}_t where id not in (select id from {n}_f) and length({TRIMMED.format(x='text')}) >= 25)"
+    )
+
+
+_WINDOWS = (
+    r"w_t as (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as t from documents), "
+    r"w_r(doc_id, t, start, stop) as (select doc_id, t, 0::bigint, 0::bigint from w_t union all select doc_id, t, s, case when s + 800 >= length(t) then length(t) when mk >= 200 then s + mk + 1 else s + 800 end "
+    r"from (select doc_id, t, s, length(regexp_extract(substring(t, s + 1, 800), '(?s)^(.*)(?:\n\n|\. |\? |! )', 1)) as mk from (select doc_id, t, case when stop = 0 then 0 else start + greatest(stop - start - 120, 1) end as s from w_r where stop < length(t)) x) y), "
+    r"w_all as (select doc_id, start, regexp_replace(substring(t, start + 1, stop - start), '^\s+|\s+$', '', 'g') as chunk from w_r where stop > 0), "
+    r"w as (select doc_id, row_number() over (partition by doc_id order by start) - 1 as window_pos, chunk from w_all where chunk <> '')"
+)
+
+
 # ---- text functions --------------------------------------------------------------------------------
 
 
@@ -155,13 +185,13 @@ def html_to_markdown(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.title_block(F.lit("page"), html_to_text("html")).alias("markdown"))
 
 
-@query()
+@query("with recursive " + sentences_sql("sent", "select doc_id as id, text from documents") + " select id as doc_id, pos as sentence_pos, sentence from sent")
 def split_sentences(spark, sf):
     ship_package(spark)
     return docs(spark, sf).select(F.col("pos").alias("doc_id"), F.posexplode(sentences("text")).alias("sentence_pos", "sentence"))
 
 
-@query()
+@query("with recursive " + _WINDOWS + " select doc_id, window_pos, chunk from w")
 def chunk_windows(spark, sf):
     ship_package(spark)
     return docs(spark, sf).select(F.col("pos").alias("doc_id"), F.posexplode(windows(800, 120)("text")).alias("window_pos", "chunk"))
@@ -473,13 +503,14 @@ def order_hits(spark, sf):
 
 
 _H = f"h as ({_HITS.format(orders='orders')})"
-_FRAME = (
-    f"{_H}, f0 as (select *, regexp_replace({fold_sql('question')}, '[\"''“”]', ' ', 'g') as q from h), "
+_FRAMED = (
+    f"f0 as (select *, regexp_replace({fold_sql('question')}, '[\"''“”]', ' ', 'g') as q from h), "
     rf"f1 as (select *, regexp_matches(q, '{L.INCIDENT}') as inc, regexp_matches(q, '{L.PEOPLE}') as ppl, regexp_matches(q, '{L.QUANTITY}') as qty, regexp_matches(q, '{L.PERIOD}') as per, regexp_matches(q, '{L.DEFINITION}') as def, regexp_matches(q, '{L.HOWTO}') as how, "
     rf"nullif(regexp_extract(q, '{L.YEAR}', 1), '') as y, regexp_extract(q, '{L.PERIOD}', 1) as p1, regexp_extract(q, '{L.PERIOD}', 2) as p2, regexp_extract(q, '{L.PERIOD}', 3) as p3 from f0), "
     "f as (select *, case when inc then 'incident' when per and (ppl or qty) then 'quantity_period' when ppl or qty then 'quantity' when def then 'definition' when y is not null then 'generic' when how then 'procedure' else 'generic' end as kind, "
     "case when not inc and per and (ppl or qty) then p2::int end as period_n, case when inc then null when per and (ppl or qty) then p3 else y end as fyear, case when not inc and per and (ppl or qty) then p1 || p2 end as period_token, not inc and ppl as people from f1)"
 )
+_FRAME = f"{_H}, {_FRAMED}"
 
 
 @query(f"with {_FRAME} select query_id, kind, period_n, fyear as year, period_token, people from f")
@@ -566,7 +597,40 @@ def _reranked(spark, sf):
     return q, cut(R.rerank_scores(found.join(d, "pos").join(asked, "query_id"), latest), "scored"), latest
 
 
-@query()
+_SCALED = "case when max({c}) over (partition by query_id) > min({c}) over (partition by query_id) then ({c} - min({c}) over (partition by query_id)) / (max({c}) over (partition by query_id) - min({c}) over (partition by query_id)) else 0.0 end"
+_SCORED = (
+    f"{_INDEX}, {_SPARSE}, {_WEIGHTS}, {_DENSE}, {_HYBRID}, h as (select item_id as query_id, coalesce(text, '') as question from benchmark), {_FRAMED}, "
+    f"own0 as (select *, {tok_sql('question')} as qt, {_DROP} as dropped from f), own as (select *, list_filter(qt, lambda t, i: list_position(qt, t) = i and not list_contains({_FILLER}, t)) as own from own0), "
+    "asked as (select *, list_filter(own, lambda t: length(t) > 2 or regexp_matches(t, '^q[1-4]$')) as metric_terms, list_filter(own, lambda t: not list_contains(dropped, t)) as quality_terms from own), "
+    "route as (select *, list_filter(metric_terms, lambda t: not list_contains(dropped, t)) as route_terms from asked), "
+    f"d as (select doc_id, source, coalesce(text, '') as t, {set_sql('text')} as terms, {fold_sql('substring(text, 1, 400)')} as blob, "
+    f"coalesce({_YEARS_OF.format(x='source')}, {_YEARS_OF.format(x='substring(text, 1, 500)')}) as hy, list_distinct({tok_sql(chr(34) + 'source' + chr(34))}) as name_terms, "
+    f"list_distinct({tok_sql('substring(text, 1, 480)')}) as head, list_distinct({tok_sql('substring(text, 1, 360)')}) as head3 from documents), "
+    f"latest as (select max({_YEARS_OF.format(x=chr(40) + 'substring(t, 1, 400)' + chr(41))}) as ly from d), "
+    "x as (select *, replace(blob, ' ', '') as compact, case when hy is null then 0.5 when ly is null then 0.4 when ly - hy <= 0 then 1.0 else greatest(0.08, 1 - 0.32 * (ly - hy)) end as recent from hybrid_top join d on pos = doc_id join route using (query_id) cross join latest), "
+    "y1 as (select *, contains(compact, 'q' || period_n::varchar) as has, len(list_filter([1, 2, 3, 4], lambda i: i <> period_n and contains(compact, 'q' || i::varchar))) > 0 as other, fyear is null or contains(blob, fyear) as yok, "
+    f"{_SHARED.format(a='route_terms', b='name_terms')} as n1, {_SHARED.format(a='route_terms', b='head')} as n3 from x), "
+    f"feat as (select query_id, pos, terms, t, quality_terms, {_SHARED.format(a='list_distinct(qt)', b='terms')} / greatest(len(list_distinct(qt)), 1)::double as overlap, len(list_filter(qt, lambda v: list_contains(terms, v))) / greatest(len(qt), 1)::double as coverage, "
+    "case when contains(lower(t), lower(question)) then 1.0 else 0.0 end as phrase, "
+    "(case when period_n is not null then case when has and yok then 1.0 when other or has then 0.0 else 0.35 end when fyear is not null then case when contains(blob, fyear) then 1.0 when regexp_matches(blob, '20[0-9]{2}') then 0.1 else 0.35 end else recent end)::double as period_score, "
+    "(case when len(route_terms) = 0 then 0.5 when n1 > 0 then least(1.0, 0.72 + 0.28 * least(n1, 2)) when n3 > 0 then least(0.42, 0.14 * n3) else 0.04 end)::double as route, "
+    f"(case when len(metric_terms) = 0 then 0.5 else least(1.0, {_SHARED.format(a='metric_terms', b='head3')} / len(metric_terms)::double) end)::double as metric_score, "
+    f"{_SCALED.format(c='dense')} as sd, {_SCALED.format(c='sparse')} as ss, {_SCALED.format(c='rrf')} as sr from y1), "
+    "total as (select *, 0.16::double * sd + 0.14::double * ss + 0.10::double * sr + 0.10::double * overlap + 0.06::double * coverage + 0.04::double * phrase + 0.12::double * period_score + 0.14::double * route + 0.14::double * metric_score as s0 from feat), "
+    "scored as materialized (select *, s0 * case when max(route) over (partition by query_id) >= 0.7 and route < 0.5 then 0.22::double else 1.0::double end as rerank from total)"
+)
+_CHOSEN = (
+    "ranked as materialized (select query_id, pos, rerank, list_distinct(terms) as ts, t, row_number() over (partition by query_id order by round(rerank, 9) desc, pos) as i from scored), "
+    f"near as materialized (select a.query_id, a.i, b.i as j, {_JACCARD.format(a='a.ts', b='b.ts')} as s from ranked a join ranked b on a.query_id = b.query_id and a.i <> b.i), "
+    "m(query_id, step, chosen) as (select distinct query_id, 0, []::bigint[] from ranked union all select query_id, any_value(step) + 1, list_append(any_value(chosen), min(row(-v, i))[2]) from ("
+    "select m.query_id, m.step, m.chosen, r.i, 0.7::double * r.rerank - (1 - 0.7::double) * coalesce((select max(s) from near where near.query_id = r.query_id and near.i = r.i and list_contains(m.chosen, near.j)), 0.0) as v "
+    "from m join ranked r on m.query_id = r.query_id where m.step < 6 and not list_contains(m.chosen, r.i)) group by query_id), "
+    "picked as (select query_id, unnest(chosen) as i, generate_subscripts(chosen, 1) as rank from m where step = (select max(step) from m z where z.query_id = m.query_id)), "
+    "hits as materialized (select query_id, pos, rank, rerank, ts, t, i from picked join ranked using (query_id, i))"
+)
+
+
+@query(f"with {_SCORED} select query_id, pos as doc_id, " + ", ".join(f"round({c}, 6) as {c}" for c in ("overlap", "coverage", "phrase", "period_score", "route", "metric_score", "rerank")) + " from scored")
 def rerank_scores(spark, sf):
     names = ("overlap", "coverage", "phrase", "period_score", "route", "metric_score", "rerank")
     return _reranked(spark, sf)[1].select("query_id", F.col("pos").alias("doc_id"), *[F.round(c, 6).alias(c) for c in names])
@@ -576,12 +640,19 @@ def _diverse(scored):
     return scored.join(R.diversify(scored.withColumn("terms", T.unique_terms("text")).withColumn("lam", F.lit(None).cast("double")), 6), ["query_id", "pos"])
 
 
-@query()
+@query(f"with recursive {_SCORED}, {_CHOSEN} select query_id, pos as doc_id, rank, round(rerank, 6) as rerank from hits")
 def mmr_diversify(spark, sf):
     return _diverse(_reranked(spark, sf)[1]).select("query_id", F.col("pos").alias("doc_id"), "rank", F.round("rerank", 6).alias("rerank"))
 
 
-@query()
+@query(
+    f"with recursive {_SCORED}, {_CHOSEN}, texts as (select query_id, string_agg({fold_sql('t')}, ' ' order by rank) as blob, max(rerank) filter (rank = 1) as top from hits group by 1), "
+    "alike as (select a.query_id, avg(s) as mean from hits a join hits b on a.query_id = b.query_id and a.rank < b.rank join near on near.query_id = a.query_id and near.i = a.i and near.j = b.i group by 1), "
+    "v1 as (select query_id, quality_terms as qs, list_filter(quality_terms, lambda v: not contains(blob, v)) as gone, top, case when mean is null then 1.0 else 1 - mean end as diversity from asked join texts using (query_id) left join alike using (query_id)), "
+    "v2 as (select *, (len(qs) - len(gone)) / greatest(len(qs), 1)::double as coverage from v1), v3 as (select *, 0.50 * coverage + 0.35 * least(greatest(top, 0.0), 1.0) + 0.15 * diversity as score from v2) "
+    "select query_id, round(coverage, 6) as coverage, round(diversity, 6) as diversity, round(score, 6) as score, score >= 0.55 as ok, array_to_string(gone, ' ') as missing, "
+    "case when len(gone) > 0 then 'buscar também: ' || array_to_string(gone[1:8], ', ') else '' end as hint from v3"
+)
 def retrieval_quality(spark, sf):
     q, scored, _ = _reranked(spark, sf)
     got = A.retrieval_quality(q, _diverse(scored))
@@ -595,7 +666,11 @@ def answer_verdicts(spark, sf):
     return got.select("query_id", "answer", "answer_ok", F.round("answer_score", 6).alias("answer_score"), "grounded")
 
 
-@query()
+@query(
+    "with recursive " + sentences_sql("sent", "select row(conv_id, turn) as id, text from conversations where role = 'assistant'")
+    + f", sets as (select id, pos, list_distinct({tok_sql('sentence')}) as t from sent), pairs as (select x.id, greatest({_JACCARD.format(a='x.t', b='y.t')}, {_CONTAINED.format(a='x.t', b='y.t')}) as s from sets x join sets y on x.id = y.id and x.pos < y.pos) "
+    "select conv_id, turn, round(coalesce(max(s), 0.0)::double, 6) as redundancy from conversations left join pairs on id = row(conv_id, turn) where role = 'assistant' group by conv_id, turn"
+)
 def answer_redundancy(spark, sf):
     ship_package(spark)
     measure = F.pandas_udf(lambda s: s.fillna("").map(A.answer_redundancy), "double")
