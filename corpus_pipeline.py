@@ -1,6 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again by the next.
 
-A stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+A stage takes (spark, docs, sf_dir); all but the last return the columns of documents, extra ones too.
+Once a stage's output is written, its input (but for the first) and what its operator wrote meanwhile are deleted.
+
+Defined results: a null or empty text fails the base rule of the first stage and goes; a null language is
+a language; a null doc_id counts as larger than all others in line dedup and stays in near-dedup; repeated
+rows are judged alike, and of rows of one doc_id and one text none is another's copy; of near copies the
+smallest doc_id stays; texts of any length are read whole; an empty table, or one of which a stage keeps
+nothing, gives an empty result; columns of the operators' own names don't clash.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from docweave.llm.linededup import dedup_lines
 from docweave.llm.neardup import drop_near_duplicates
 from docweave.llm.packing import pack_documents
 from docweave.llm.quality import filter_quality
-from docweave.runtime import shared_path
+from docweave.runtime import remove_path, scratch, shared_path
 
 #: Documents whose shingle sets are alike at this or more are near copies; op8's query has its own 85.
 NEAR_PERCENT = 80
@@ -45,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if done:
+            remove_path(spark, done)
+        docs, done = spark.read.parquet(path), path
     return docs

@@ -6,10 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[list[str]] = []  # paths made inside each open ``scratch``
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -53,7 +56,28 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared root; nothing is created yet."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared root, by the file system that Spark uses for it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``shared_path`` and ``cut`` make inside goes at the end: write the result before, to a path made outside."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove_path(spark, path)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
