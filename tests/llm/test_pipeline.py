@@ -58,3 +58,28 @@ def test_near_dedup_stage_takes_similarity_of_80_percent(spark):
     texts = [t for edits in (1, 3, 4, 5) for t in variants(20 + edits, 6, edits)]
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()}
     assert kept == {i for i, (_, c) in near_truth(texts, 80).items() if c == i} == {0, 7, 14, 21, *range(23, 28)}
+
+
+def test_awkward_rows_and_what_is_left_on_disk(spark, tmp_path):
+    """Very long texts, null ids, repeated rows, clashing columns; afterwards only the last stage's folder is there."""
+    long_text = "\n".join(prose(9000 + i, 12) for i in range(900))
+    texts = [page(i) for i in range(1, 12)] + [long_text, None, "", page(1), page(2) + "\n" + page(3)]
+    names = ("piece", "offset", "name", "node", "cluster", "__dw_x", "class_js", "n_hit")
+    d = docs(spark, texts, extra=names, ids=[*range(10), None, *range(11, len(texts))])
+    d = d.unionByName(d.where("doc_id = 5"))
+    d.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, filler(9, 40)), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    new = set(os.listdir(root)) - before
+    assert len(new) == 1 and new.pop().startswith("stage-pack-")
+    rows = out.collect()
+    ids = lambda t: [*encoder().full.encode(t, add_special_tokens=False).ids, 0]
+    total = {}
+    for r in rows:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+    # 14 is a copy of 0 and loses all lines, 15 those of 1 and 2; both rows of 5 are one document and stay.
+    want = {i: len(ids(texts[i])) for i in range(10)} | {None: len(ids(texts[10])), 11: len(ids(long_text))}
+    want[5] *= 2
+    assert total == want and len(ids(long_text)) > 20_000
