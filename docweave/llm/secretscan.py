@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.textblock import Block, blocks
 from docweave.llm.tokens import default_path
-from docweave.runtime import ship_package
+from docweave.runtime import cut, ship_package
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -75,10 +75,22 @@ def vocabulary_words(path: str | None = None) -> list[str]:
 
 
 def corpus_words(docs: DataFrame, limit: int = CORPUS_WORDS) -> list[str]:
-    """The commonest words of letters alone in all documents; of equally common ones the first by alphabet."""
+    """The words of letters alone that all documents have most often, ``limit`` at most, commonest first, then by alphabet.
+
+    A histogram of their counts tells from which count on they are few enough, so that no more than these
+    are collected; words of one count, or of one class of great counts, are all taken or all left.
+    """
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")
     counts = docs.select(word).where(F.col("w").rlike(rf"^\p{{L}}{{3,{LONGEST}}}$")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(limit).collect()]
+    counts = cut(counts.withColumn("class", F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(1024 + 64 * (F.log2("n") - 10)))), "words")
+    total, least = 0, None
+    for r in sorted(counts.groupBy("class").count().collect(), reverse=True):  # some thousand classes at most
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["class"]
+    found = [] if least is None else counts.where(F.col("class") >= least).select("n", "w").collect()
+    return [r["w"] for r in sorted(found, key=lambda r: (-r["n"], r["w"]))]
 
 
 def dictionary(*ranked: list[str]) -> dict[str, int]:
