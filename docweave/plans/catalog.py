@@ -387,10 +387,11 @@ def parts(spark, sf):
 
 
 _PARTS = f"parts as (select p_partkey as pos, list_distinct({tok_sql(chr(34) + 'text' + chr(34))}) as s, {tok_sql(chr(34) + 'text' + chr(34))} as l from (select p_partkey, concat_ws(' ', p_name, p_type, 't' || p_size, replace(p_brand, '#', '')) as text from part))"
-_PAIRS = (
-    f"{_PARTS}, e as (select pos, unnest(s) as term, l from parts where len(s) >= 2), p as (select pos, term, list_position(l, term) as at from e), gdf as (select term, count(*) as df from p group by 1), gn as (select count(*) as n from parts where len(s) >= 2), "
+_PAIRS_OF = (
+    "e as (select pos, unnest(s) as term, l from parts where len(s) >= 2), p as (select pos, term, list_position(l, term) as at from e), gdf as (select term, count(*) as df from p group by 1), gn as (select count(*) as n from parts where len(s) >= 2), "
     "pairs as (select x.term as a, y.term as b, count(*) as c, min(row(x.pos, y.at)) as seen from p x join p y on x.pos = y.pos and x.term <> y.term group by 1, 2)"
 )
+_PAIRS = f"{_PARTS}, {_PAIRS_OF}"
 _NEIGH = "scored as (select a, b, c * (ln((n + 1) / (df + 1)::double) + 1) as weight, df as df_b, seen from pairs join gdf on b = term, gn), neigh as (select * from (select a, b, weight, df_b, row_number() over (partition by a order by round(weight, 9) desc, seen, b) as rank from scored) where rank <= 24)"
 
 
@@ -415,6 +416,17 @@ def cooccurrence_neighbors(spark, sf):
     return _neighbors(spark, sf)[0].select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("weight", 6).alias("weight"), "df_b")
 
 
+@query(
+    f"with parts as materialized (select conv_id * 100000 + turn as pos, list_distinct({tok_sql(chr(34) + 'text' + chr(34))}) as s, {tok_sql(chr(34) + 'text' + chr(34))} as l from conversations), {_PAIRS_OF}, {_NEIGH} "
+    "select a, b, rank, round(weight, 6) as weight, df_b from neigh"
+)
+def turn_neighbors(spark, sf):
+    """The term graph of prose: every turn of a conversation is a chunk."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("pos"), "text")
+    near = I.neighbors(I.cooccurrence(turns), cut(I.graph_df(turns), "gdf"))
+    return near.select("a", "b", F.col("rank").cast("long").alias("rank"), F.round("weight", 6).alias("weight"), "df_b")
+
+
 @query()
 def rewrite_query(spark, sf):
     """Questions about every part, rewritten with the graph of parts."""

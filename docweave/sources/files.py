@@ -76,8 +76,14 @@ def _empty_files(path: str) -> list[str]:
 def convert_files(spark: SparkSession, path: str, dest: str, overwrite: bool = False) -> DataFrame:
     """Write Markdown below ``dest``; the log source, target, skipped, reason.
 
-    Workers write their own files through the store's file system; nothing passes the driver.
+    Workers write their own files through the store's file system; nothing passes the driver. A path without
+    a scheme is one of Spark's default file system, which all executors share on a cluster.
     """
+    if "://" not in dest and not spark.sparkContext.master.startswith("local"):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dest)
+        dest = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        if dest.startswith("file:"):
+            raise ValueError("on a cluster, dest must name a folder of a file system that all executors share")
     files = markdown_files(spark, path)
     empty = _empty_files(path)
     if not empty and files.isEmpty():

@@ -39,7 +39,7 @@ def test_query(spark, con, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["split_sentences", "chunk_windows", "near_duplicate_greedy", "html_to_markdown", "rewrite_query"])
+@pytest.mark.parametrize("name", ["html_to_markdown", "chunk_corpus", "rewrite_query", "answer_verdicts"])
 def test_query_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
