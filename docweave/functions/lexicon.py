@@ -12,6 +12,7 @@ FILLER = (
     "me explica explique diz diga fala fale quero saber pode poderia gostaria sobre qual quais quanto quantos quantas onde como por porque "
     "pq o a os as de do da em no na que eh seria pra para pfv trata"
 ).split()
+# Fixed values that results depend on: question words that a frame leaves out.
 LIGHT = ("fazer", "ser", "sobre", "trata", "tratar")
 WORK = ("trabalha", "trabalham")
 
