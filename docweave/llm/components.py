@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating stars; no neighbour list meets in one task."""
+"""Connected components of an edge table by alternating stars; no neighbour list meets in one task.
+
+Defined results: an edge with a null end and an edge from a node to itself say nothing and are left out; repeated
+edges count once; an empty table has no nodes; other columns are ignored.
+"""
 
 from __future__ import annotations
 
