@@ -34,8 +34,9 @@ def lut_lower() -> np.ndarray:
     return lut
 
 
-def _trim() -> None:
+def trim() -> None:
     """Return freed memory to the system: workers live on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc
@@ -54,7 +55,7 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Itera
         end = min(n, max(at + 1, end))
         yield batch.slice(at, end - at)
         at = end
-    _trim()
+    trim()
 
 
 def _offsets(arr: pa.Array) -> np.ndarray:

@@ -14,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from docweave.llm.textblock import Block, span_hash
+from docweave.llm.textblock import Block, span_hash, trim
 
 DEFAULT = "word_bpe_49k.json"
 CACHE_PIECES = 400_000
@@ -56,6 +56,7 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in set(plain)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)} | {32: " "}
         self.table: dict[bytes, bytes] = {}
+        trim()  # reading the vocabulary takes twice what is kept of it
 
     def _bpe(self, pieces: list[bytes]) -> None:
         """Encode lower-cased pre-tokens, some dozens to a call; each ends at its end-of-word id."""

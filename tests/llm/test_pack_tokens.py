@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docweave.llm import packing, tokenstore
 from docweave.llm.tokens import encode_rows, encoder
@@ -225,3 +226,21 @@ def test_shared_root_is_the_sessions(spark):
 def test_no_ids(texts):
     ids, n = encode_rows(pa.array(texts, pa.string()))
     assert len(ids) == 0 and n.tolist() == [0] * len(texts)
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    from docweave import runtime
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    rows = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    spark.conf.unset(runtime.ARROW_SETTING)
+    runtime.ship_package(spark)
+    got = rows.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 3000 and max(r["bytes"] for r in got) < runtime.ARROW_BYTES + 20_000
+    spark.conf.set(runtime.ARROW_SETTING, "9m")
+    runtime.ship_package(spark)
+    assert spark.conf.get(runtime.ARROW_SETTING) == "9m"
+    spark.conf.unset(runtime.ARROW_SETTING)
