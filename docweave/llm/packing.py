@@ -35,6 +35,7 @@ CAPACITY = 2048
 END_ID = 0
 LEVEL_ITEMS = 1 << 17
 RANK_ROWS = 200_000  # pieces of one length that one task ranks, about
+ENCODE_BYTES = 1 << 19  # of text at a time; its arrays take some fifty times as much, larger ones aren't faster
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int, open_first: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
@@ -106,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def run(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in blocks(batch, "text", 2 << 20):
+            for part in blocks(batch, "text", ENCODE_BYTES):
                 ids, n = enc.encode(Block(part.column(1)))
                 ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
                 many = -(-n // capacity)
