@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+HASH_BYTES = 1 << 16  # of spans hashed at a time; the arrays for it take some seventy times as much
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _TABLE = _rng.integers(0, 2**64, size=(64, 256), dtype=np.uint64)
@@ -108,8 +109,17 @@ class Block:
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span's bytes. Spans ascend and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    out, at = np.zeros(len(starts), np.uint64), 0
+    before = np.cumsum(ends - starts)
+    while at < len(starts):
+        end = int(np.searchsorted(before, (before[at - 1] if at else 0) + HASH_BYTES, side="right"))
+        end = max(end, at + 1)
+        out[at:end] = _span_hash(data, starts[at:end], ends[at:end], seed)
+        at = end
+    return out
+
+
+def _span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     lens = ends - starts
     total = int(lens.sum())
     out = np.full(len(starts), U(seed), np.uint64)

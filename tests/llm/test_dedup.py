@@ -28,6 +28,23 @@ def test_span_hash_depends_on_content_alone():
     assert len(w) == 8 and len(set(w.tolist())) == 8
 
 
+def test_span_hash_takes_little_memory():
+    import tracemalloc
+
+    lens = np.resize([3, 90, 1, 0, 7, 500], 20_000)
+    lens[11_111] = 200_000  # longer than what is hashed at a time
+    starts = np.cumsum(lens + 1) - lens - 1
+    data = np.resize(np.frombuffer(b"some words and more of them", np.uint8), int(lens.sum()) + len(lens))
+    some = np.arange(0, len(lens), 97)
+    one = [int(span_hash(data, starts[i : i + 1], starts[i : i + 1] + lens[i : i + 1], 5)[0]) for i in some]
+    tracemalloc.start()
+    h = span_hash(data, starts, starts + lens, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert h[some].tolist() == one
+    assert most < 20 << 20  # 72 bytes for each of the text's 2 million would be more
+
+
 # ---- near duplicates
 
 
