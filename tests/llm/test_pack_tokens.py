@@ -228,6 +228,51 @@ def test_no_ids(texts):
     assert len(ids) == 0 and n.tolist() == [0] * len(texts)
 
 
+def test_frequent_pieces_stay_when_the_table_fills(monkeypatch):
+    from docweave.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 1000)
+    enc, asked = tokens.WordEncoder(tokens.default_path()), Counter()
+    bpe = enc._bpe
+    monkeypatch.setattr(enc, "_bpe", lambda pieces: (asked.update(pieces), bpe(pieces))[1])
+    letters = "abcdefghijklmnop"
+    for k in range(9):
+        texts = ["common words stay " + " ".join("q" + "".join(letters[(i + 400 * k) >> s & 15] for s in (0, 4, 8)) for i in range(400))]
+        ids, n = enc.encode(tokens.Block(pa.array(texts)))
+        assert ids.tolist() == expected(texts[0]) and n.tolist() == [len(ids)]
+    assert asked[b"common"] == asked[b"words"] == asked[b"stay"] == 1 and len(asked) > 3000
+
+
+def test_a_word_before_a_line_break_is_taken_apart_like_others(monkeypatch):
+    from docweave.llm import tokens
+
+    enc = tokens.WordEncoder(tokens.default_path())
+    whole, asked = enc._whole, []
+    monkeypatch.setattr(enc, "_whole", lambda words: (asked.extend(words), whole(words))[1])
+    text = "one line.\nand\tanother\x0b\x0c\rhere. don't\n"
+    assert enc.encode(tokens.Block(pa.array([text])))[0].tolist() == expected(text)
+    assert asked == [b"don't"]
+
+
+def test_pieces_whose_first_hash_is_equal(monkeypatch):
+    from docweave.llm import tokens
+
+    keys = tokens.piece_keys
+    monkeypatch.setattr(tokens, "piece_keys", lambda *a: (keys(*a)[0] >> np.uint64(62) << np.uint64(62), keys(*a)[1]))
+    texts = ["many words of one slot", "and of another", "many slots"]
+    ids, n = tokens.WordEncoder(tokens.default_path()).encode(tokens.Block(pa.array(texts)))
+    assert ids.tolist() == [i for t in texts for i in expected(t)] and n.tolist() == [len(expected(t)) for t in texts]
+
+
+def test_more_pieces_than_are_looked_up_at_a_time(monkeypatch):
+    from docweave.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHUNK", 7)
+    texts = ["a row of so many words that it is looked up in parts, 12 of them", None, "x", "", "and a second " * 9]
+    ids, n = tokens.WordEncoder(tokens.default_path()).encode(tokens.Block(pa.array(texts)))
+    assert ids.tolist() == [i for t in texts for i in expected(t)] and n.tolist() == [len(expected(t)) for t in texts]
+
+
 def test_arrow_batches_are_bounded_by_bytes(spark):
     from docweave import runtime
 
